@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL_KEYS = ["iter", "block", "fold"]
@@ -26,38 +26,33 @@ def with_features(membership: DataFrame, features: DataFrame, columns: Sequence[
     narrow = features.select("entity_id", *columns)
     seeds = membership.filter("label = 1")
     others = membership.filter("label = 0")
-    seed_rows = narrow.join(features.filter("label = 1").select("entity_id"), "entity_id", "left_semi") \
-        if "label" not in features.columns else features.filter("label = 1").select("entity_id", *columns)
+    seed_rows = features.filter("label = 1").select("entity_id", *columns)
     if seed_rows.limit(SEED_ROWS + 1).count() <= SEED_ROWS:
         seed_rows = F.broadcast(seed_rows)
     return others.join(narrow, "entity_id").unionByName(seeds.join(seed_rows, "entity_id"))
 
 
-def _sums(columns: Sequence[str]) -> list[Column]:
-    out = [F.count("*").cast("double").alias("n")]
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        out += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    return out
-
-
 def fit_models(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per model: class sizes, means and variances over the other folds of its block."""
-    per_fold = rows.groupBy(*MODEL_KEYS, "label").agg(*_sums(columns))
+    """One row per model: class sizes, means and variances over the other folds of its block.
+
+    Written as SQL text: the terms are many and alike.
+    """
+    sums = ["CAST(count(*) AS DOUBLE) AS n"]
+    for i, c in enumerate(columns):
+        sums += [f"sum(CAST(`{c}` AS DOUBLE)) AS s{i}", f"sum(CAST(`{c}` AS DOUBLE) * `{c}`) AS q{i}"]
+    per_fold = rows.groupBy(*MODEL_KEYS, "label").agg(*[F.expr(e) for e in sums])
     names = ["n"] + [f"{k}{i}" for i in range(len(columns)) for k in "sq"]
     # One row per fold and class in each window group: k rows.
-    block = Window.partitionBy("iter", "block", "label")
-    rest = per_fold.select(*MODEL_KEYS, "label", *[(F.sum(x).over(block) - F.col(x)).alias(x) for x in names])
+    rest = per_fold.selectExpr(*MODEL_KEYS, "label", *[
+        f"sum({x}) OVER (PARTITION BY iter, block, label) - {x} AS {x}" for x in names])
     wide = rest.groupBy(*MODEL_KEYS).agg(*[
-        F.max(F.when(F.col("label") == y, F.col(x))).alias(f"{x}_{y}") for x in names for y in (0, 1)])
-    stats = []
-    for y in (0, 1):
-        n = F.nullif(F.col(f"n_{y}"), F.lit(0.0))
-        for i in range(len(columns)):
-            mean = F.col(f"s{i}_{y}") / n
-            variance = F.greatest(F.col(f"q{i}_{y}") / n - mean * mean, F.lit(0.0)) + F.lit(VARIANCE_FLOOR)
-            stats += [mean.alias(f"m{i}_{y}"), variance.alias(f"v{i}_{y}")]
-    return wide.select(*MODEL_KEYS, "n_0", "n_1", *stats)
+        F.expr(f"max({x}) FILTER (WHERE label = {y}) AS {x}_{y}") for x in names for y in (0, 1)])
+    means = [f"s{i}_{y} / nullif(n_{y}, 0D) AS m{i}_{y}" for i in range(len(columns)) for y in (0, 1)]
+    variances = [
+        f"greatest(q{i}_{y} / nullif(n_{y}, 0D) - m{i}_{y} * m{i}_{y}, 0D) + {VARIANCE_FLOOR} AS v{i}_{y}"
+        for i in range(len(columns)) for y in (0, 1)]
+    return wide.selectExpr("*", *means).selectExpr(
+        *MODEL_KEYS, "n_0", "n_1", *[f"m{i}_{y}" for i in range(len(columns)) for y in (0, 1)], *variances)
 
 
 def naive_bayes_scores(membership: DataFrame, features: DataFrame, columns: Sequence[str],
@@ -65,15 +60,12 @@ def naive_bayes_scores(membership: DataFrame, features: DataFrame, columns: Sequ
     """Out-of-fold `(clf, iter, block, fold, entity_id, label, proba)`; null where a class has no training rows."""
     rows = with_features(membership, features, columns)
     models = fit_models(rows, columns)
-    odds = F.ln(F.nullif(F.col("n_1"), F.lit(0.0)) / F.nullif(F.col("n_0"), F.lit(0.0)))
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        far0 = (x - F.col(f"m{i}_0")) * (x - F.col(f"m{i}_0")) / (2 * F.col(f"v{i}_0"))
-        far1 = (x - F.col(f"m{i}_1")) * (x - F.col(f"m{i}_1")) / (2 * F.col(f"v{i}_1"))
-        odds = odds + far0 - far1 + F.lit(0.5) * F.ln(F.col(f"v{i}_0") / F.col(f"v{i}_1"))
-    odds = F.when(odds.isNotNull(), F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0)))
+    odds = "ln(nullif(n_1, 0D) / nullif(n_0, 0D))" + "".join(
+        f" + (`{c}` - m{i}_0) * (`{c}` - m{i}_0) / (2 * v{i}_0) - (`{c}` - m{i}_1) * (`{c}` - m{i}_1) / (2 * v{i}_1)"
+        f" + 0.5D * ln(v{i}_0 / v{i}_1)" for i, c in enumerate(columns))
     # Models number iterations x blocks x folds; adaptive execution broadcasts them if
     # their measured size allows and splits skewed partitions if it does not.
-    return rows.join(models, MODEL_KEYS).select(
-        F.lit(clf).alias("clf"), *MODEL_KEYS, "entity_id", "label",
-        (F.lit(1.0) / (1 + F.exp(-odds))).alias("proba"))
+    scored = rows.join(models, MODEL_KEYS).selectExpr(*MODEL_KEYS, "entity_id", "label", f"{odds} AS odds")
+    return scored.selectExpr(
+        f"'{clf}' AS clf", *MODEL_KEYS, "entity_id", "label",
+        "CASE WHEN odds IS NOT NULL THEN 1D / (1D + exp(-greatest(least(odds, 700D), -700D))) END AS proba")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import flag
-from seedlift.functions.text import clean_column_name, matches_any
+from seedlift.functions.text import clean_column_name, matches_any, tag_text
 from seedlift.operators.joins import attach, merge_tables, reindex, require_unique, left_chain
 from seedlift.operators.order import exact_quantiles, number_rows
 from seedlift.operators.terms import term_columns, term_filter
@@ -68,7 +68,7 @@ def recode(column: str | Column, table: Mapping) -> Column:
 def explode_delimited(df: DataFrame, column: str, sep: str, keep: bool = False, trim: bool = True) -> DataFrame:
     """One row per piece; null lists give no row. `keep` also retains an unsplit row of several pieces."""
     split = F.split(F.col(column), re.escape(sep), -1)
-    pieces = F.transform(split, F.trim) if trim else split
+    pieces = F.transform(split, lambda piece: F.trim(piece)) if trim else split
     if keep:
         pieces = F.when(F.size(pieces) > 1, F.concat(pieces, F.array(column))).otherwise(pieces)
     return df.filter(F.col(column).isNotNull()).withColumn(column, F.explode(pieces))
@@ -172,10 +172,19 @@ def pivot_levels(df: DataFrame, key: str, category: str, value: Column, values:
     return out.agg(*aggs)
 
 
-def collapse_tissue_levels(df: DataFrame, key: str, category: str, level: str, values: Sequence[str]) -> DataFrame:
+def collapse_tissue_levels(df: DataFrame, key: str, category: str, level: str, values: Sequence[str],
+                           codes: Mapping[str, int] = LEVEL_FLAGS, prefix: str = "ProteinAtlas_",
+                           suffix: str = "_Expr_Flag") -> DataFrame:
     """A 0/1 expression flag per category: 1 if any row there is medium or high."""
-    return pivot_levels(df, key, category, recode(level, LEVEL_FLAGS), values, prefix="ProteinAtlas_",
-                        suffix="_Expr_Flag")
+    return pivot_levels(df, key, category, recode(level, codes), values, prefix=prefix, suffix=suffix)
+
+
+def category_values(df: DataFrame, column: str, most: int = 1000) -> list:
+    """Sorted distinct values of a column, to fix a pivot's columns; raises beyond `most`."""
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(v for v in values if v is not None)
 
 
 def tissue_features(levels: DataFrame, rna: DataFrame, key: str, include: Sequence[str],
@@ -324,6 +333,19 @@ def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Seq
     return texts.join(distinct_joined(df, key, distinct, sep), key, "left")
 
 
+def annotated_map(df: DataFrame, key: str, phrases: str, distinct: Sequence[str], tags: Mapping[str, str],
+                  sep: str = ";", marker: str = "(3)", required: Sequence[str] = ()) -> DataFrame:
+    """Explode phrase lists, keep marked phrases, tag them, and collapse the rows by key."""
+    rows = explode_delimited(df, phrases, sep).filter(F.col(phrases).contains(marker))
+    rows = rows.dropna(subset=list(required)) if required else rows
+    return collapse_by_id(rows.withColumn("annotation", tag_text(phrases, tags)), key, phrases, "annotation", distinct)
+
+
+def named_annotations(annotations: DataFrame, terms: DataFrame, on: str, name: str) -> DataFrame:
+    """Annotation rows with the lower-cased name of their term."""
+    return attach(annotations, terms.select(on, F.lower(name).alias(name)), on)
+
+
 def bottom_group(column: str | Column) -> Column:
     """Sort key that puts texts starting with `?`, `[`, `{` last, in that order."""
     first = F.substring(F.col(column) if isinstance(column, str) else column, 1, 1)

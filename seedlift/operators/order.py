@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlift.runtime import pieces, pin
+from seedlift.runtime import pin, range_count
 
 RANGE, AT = "_range", "_at"
 
@@ -33,7 +33,7 @@ def lay_out(df: DataFrame, order: Sequence[Column | str], ranges: int | None = N
     Range borders come from sampling, so they are only fixed once written; that is
     why the result is pinned before any count is taken from it.
     """
-    n = ranges or pieces(df.sparkSession)
+    n = ranges or range_count(df)
     laid = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

@@ -182,19 +182,16 @@ def drop_uninformative(df: DataFrame, length_names: Sequence[str] = LENGTH_NAMES
 def standardise(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(x - mean) / population deviation; a constant column is only centred.
 
-    The moments are a scalar subquery: one aggregate row, no join.
+    The moments are one aggregate row, read first and put into the plan as constants.
     """
     columns = list(columns or numeric_columns(df))
-    parts = []
-    for i, c in enumerate(columns):
-        parts += [F.avg(_c(c)).alias(f"m{i}"), F.stddev_pop(_c(c)).alias(f"s{i}")]
-    moments = df.agg(F.struct(*parts).alias("m")).scalar()
+    row = df.agg(*[F.avg(_c(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_pop(_c(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     place = {c: i for i, c in enumerate(columns)}
 
     def scaled(c: str) -> Column:
-        i = place[c]
-        sd = F.coalesce(F.nullif(moments[f"s{i}"], F.lit(0.0)), F.lit(1.0))
-        return ((_c(c) - moments[f"m{i}"]) / sd).alias(c)
+        mean, sd = row[f"m{place[c]}"], row[f"s{place[c]}"] or 1.0
+        return ((_c(c) - F.lit(mean)) / F.lit(sd)).alias(c)
 
     return df.select(*[scaled(c) if c in place else _c(c) for c in df.columns])
 

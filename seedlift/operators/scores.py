@@ -115,18 +115,17 @@ def mean_roc(scores: DataFrame, points: int = 100, keys: Sequence[str] = FOLD_KE
              by: Sequence[str] = ("clf",)) -> DataFrame:
     """Mean and deviation of TPR on an even FPR grid, each fold interpolated linearly.
 
-    A step only meets the grid points between it and the next step, so the work is
-    steps + folds x points. At equal FPR the highest TPR is used.
+    Steps are merged per grid cell first, so the work is steps + folds x points.
     """
     keys, by = list(keys), list(by)
-    at = roc_steps(scores, keys).groupBy(*keys, "fpr").agg(F.max("tpr").alias("tpr"))
-    at = at.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
-    starts = at.select(*keys).distinct().select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    at = at.unionByName(starts).groupBy(*keys, "fpr").agg(F.max("tpr").alias("tpr"))
+    # Vertical runs keep both ends: lines arrive at the lower one and leave from the upper.
+    steps = roc_steps(scores, keys).filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
+    starts = steps.select(*keys).distinct().select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    at = steps.select(*keys, "fpr", "tpr").unionByName(starts).groupBy(*keys, "fpr").agg(
+        F.min("tpr").alias("low"), F.max("tpr").alias("high"))
     # Only the last step before and the first step at or after each grid point matter.
-    scaled = F.col("fpr") * (points - 1)
-    before = at.groupBy(*keys, F.floor(scaled).cast("int").alias("cell")).agg(
-        F.max(F.struct("fpr", "tpr")).alias("last"), F.min(F.struct("fpr", "tpr")).alias("first"))
+    before = at.groupBy(*keys, F.floor(F.col("fpr") * (points - 1)).cast("int").alias("cell")).agg(
+        F.max(F.struct("fpr", "high")).alias("last"), F.min(F.struct("fpr", "low", "high")).alias("first"))
     cells = before.select(*keys).distinct().select(
         *keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("cell"))
     filled = cells.join(before, [*keys, "cell"], "left")
@@ -135,10 +134,10 @@ def mean_roc(scores: DataFrame, points: int = 100, keys: Sequence[str] = FOLD_KE
     ends = filled.select(  # `points` rows per fold in each window group
         *keys, "cell", F.last("last", True).over(upto).alias("lo"), F.first("first", True).over(after).alias("hi"),
         (F.col("cell") / F.lit(float(points - 1))).alias("x"))
-    rise = (F.col("hi.tpr") - F.col("lo.tpr")) * (F.col("x") - F.col("lo.fpr")) / (F.col("hi.fpr") - F.col("lo.fpr"))
+    slope = F.try_divide(F.col("hi.low") - F.col("lo.high"), F.col("hi.fpr") - F.col("lo.fpr"))
     y = (F.when(F.col("cell") == 0, 0.0)
-         .when(F.col("hi.fpr") == F.col("x"), F.col("hi.tpr"))
-         .otherwise(F.col("lo.tpr") + rise))
+         .when(F.col("hi.fpr") == F.col("x"), F.col("hi.high"))
+         .otherwise(F.col("lo.high") + slope * (F.col("x") - F.col("lo.fpr"))))
     folds = ends.withColumn("tpr", y)
     mean = F.when(F.col("cell") == points - 1, 1.0).otherwise(F.col("mean_tpr"))
     return folds.groupBy(*by, "cell").agg(

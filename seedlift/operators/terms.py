@@ -70,17 +70,20 @@ def random_seeds(entities: DataFrame, label: str = "label", salt: str = "random"
     return placed.withColumn(label, F.when(F.col("_rn") <= count, 1).otherwise(0)).drop("_rn")
 
 
-def term_counts(df: DataFrame, column: str, stopwords: Sequence[str] = STOPWORDS, more_than: int = 1) -> DataFrame:
-    """Occurrences of each token outside `stopwords` and all-digit ones."""
+def term_counts(df: DataFrame, column: str, stopwords: Sequence[str] = STOPWORDS, more_than: int = 1,
+                digits: bool = False) -> DataFrame:
+    """Occurrences of each token outside `stopwords`; all-digit tokens only count with `digits`."""
     tokens = df.select(F.explode(words(column)).alias("token"))
-    kept = tokens.filter(~F.col("token").isin(*stopwords) & ~F.col("token").rlike("^[0-9]+$"))
+    kept = tokens.filter(~F.col("token").isin(*stopwords))
+    if not digits:
+        kept = kept.filter(~F.col("token").rlike("^[0-9]+$"))
     return kept.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > more_than)
 
 
 def matched_phrases(df: DataFrame, column: str, include: Sequence[str], sep: str = r"\|",
                     regex: bool = False) -> DataFrame:
     """Distinct lower-cased phrases of a delimited column that match an include term."""
-    phrases = df.select(F.lower(F.explode(F.split(column, sep, -1))).alias("phrase")).distinct()
+    phrases = df.select(F.explode(F.split(F.lower(column), sep, -1)).alias("phrase")).distinct()
     return phrases.filter(matches_any("phrase", include, regex))
 
 

@@ -18,6 +18,8 @@ def session(app: str = "seedlift", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call sites on every column cost more than building the plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
@@ -53,6 +55,17 @@ def pin(df: DataFrame, tag: str = "pin") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Aim for ranges of this many bytes by the optimizer's estimate.
+RANGE_BYTES = 16 << 20
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges to cut `df` into: by estimated size, at most the session's shuffle partitions."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = int(str(estimate)) // RANGE_BYTES + 2
+    return min(pieces(df.sparkSession), wanted)
+
+
 def pieces(spark: SparkSession) -> int:
     """How many ranges or salts to cut hot data into."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

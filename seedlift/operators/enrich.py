@@ -49,8 +49,9 @@ def shuffled_ranking(external: DataFrame, salt: str) -> DataFrame:
 
 
 def restrict_to_shared(ranking: DataFrame, external: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both lists cut to the entities they share."""
-    return keep_listed(ranking, external), keep_listed(external, ranking)
+    """Both lists cut to the entities they share; external ranks are numbered anew within them."""
+    shared = keep_listed(external, ranking).withColumnRenamed("external_rank", "_old")
+    return keep_listed(ranking, external), number_rows(shared, [F.col("_old")], "external_rank").drop("_old")
 
 
 def hypergeom_steps(

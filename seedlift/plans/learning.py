@@ -130,12 +130,12 @@ def seed_subsample(spark, sf):
 
 
 @query("median_scores", f"""WITH {B.SCORES} SELECT entity_id, round(median(proba), 6) AS median_score,
-  round(quantile_cont(proba, 0.25) / 7, 6) AS q25, count(*) AS n FROM scores GROUP BY 1""")
+  round(quantile_cont(proba, 0.25), 9) AS q25, count(*) AS n FROM scores GROUP BY 1""")
 def median_scores(spark, sf):
     scored = pin(B.scores(spark, sf), "scores")
     middle = S.median_scores(scored).drop("clf").withColumn("median_score", F.round("median_score", 6))
     five = S.five_numbers(scored, "proba", ["entity_id"], ["iter", "block", "fold"]).select(
-        "entity_id", F.round(F.col("q25") / 7, 6).alias("q25"), "n")
+        "entity_id", F.round("q25", 9).alias("q25"), "n")
     return middle.join(five, "entity_id")
 
 
@@ -149,15 +149,14 @@ def score_ecdf(spark, sf):
 
 
 @query("score_quantiles", f"""WITH {B.VARIANT_SCORES}, {B.RANKED}
-SELECT clf, label, round(min(mean_score), 6) AS q0, round(quantile_cont(mean_score, 0.25) / 7, 6) AS q25,
-       round(quantile_cont(mean_score, 0.5) / 7, 6) AS q50, round(quantile_cont(mean_score, 0.75) / 7, 6) AS q75,
+SELECT clf, label, round(min(mean_score), 6) AS q0, round(quantile_cont(mean_score, 0.25), 9) AS q25,
+       round(quantile_cont(mean_score, 0.5), 9) AS q50, round(quantile_cont(mean_score, 0.75), 9) AS q75,
        round(max(mean_score), 6) AS q100, count(*) AS n FROM ranked GROUP BY ALL""")
 def score_quantiles(spark, sf):
-    # Quartiles are shown divided by 7: halves of six-place scores would sit on rounding ties.
     means = S.mean_scores(B.variant_scores(spark, sf)).withColumn("mean_score", F.round("mean_score", B.DECIMALS))
     out = S.five_numbers(means, "mean_score", ["clf", "label"], ["entity_id"])
     return out.select("clf", "label", F.round("q0", 6).alias("q0"), F.round("q100", 6).alias("q100"), "n",
-                      *[F.round(F.col(c) / 7, 6).alias(c) for c in ("q25", "q50", "q75")])
+                      *[F.round(c, 9).alias(c) for c in ("q25", "q50", "q75")])
 
 
 @query("score_histogram", f"""WITH {B.SCORES}, {B.RANKED}

@@ -13,6 +13,7 @@ from seedlift.functions.text import clean_column_name, matches_any, tag_text
 from seedlift.operators.joins import attach, merge_tables, reindex, require_unique, left_chain
 from seedlift.operators.order import exact_quantiles, number_rows
 from seedlift.operators.terms import term_columns, term_filter
+from seedlift.runtime import pin
 
 # Codes of expression levels, one feature per entity.
 LEVEL_CODES = {"Not detected": 0, "Low": 1, "Medium": 3, "High": 8}
@@ -237,7 +238,8 @@ def expression_by_column(matrix: DataFrame, key: str, prefix: str = "GTEx_",
 def large_sets(sets: DataFrame, at_least: int = 150) -> DataFrame:
     """Sets with at least that many distinct members."""
     members = sets.distinct().groupBy("set_name").agg(F.count("*").alias("n"))
-    return attach(sets, members.filter(F.col("n") >= at_least), "set_name").filter(F.col("n").isNotNull()).drop("n")
+    large = pin(members.filter(F.col("n") >= at_least), "sets")
+    return attach(sets, large, "set_name").filter(F.col("n").isNotNull()).drop("n")
 
 
 def set_flags(sets: DataFrame, terms: Sequence[str], prefix: str = "GO_", regex: bool = False) -> DataFrame:
@@ -261,7 +263,7 @@ def neighbour_lists(edges: DataFrame, longest: int = 100_000) -> DataFrame:
     pairs = edges.select("entity_id", "neighbour")
     sizes = pairs.groupBy("entity_id").agg(F.count("*").alias("_n"))
     hubs = sizes.filter(F.col("_n") > longest).withColumn("_parts", F.ceil(F.col("_n") * 2 / longest).cast("bigint"))
-    parted = attach(pairs, hubs.select("entity_id", "_parts"), "entity_id")
+    parted = attach(pairs, pin(hubs.select("entity_id", "_parts"), "hubs"), "entity_id")
     part = F.coalesce(F.pmod(F.xxhash64("neighbour"), F.col("_parts")), F.lit(0).cast("bigint"))
     return parted.withColumn("part", part).groupBy("entity_id", "part").agg(
         F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
@@ -296,17 +298,21 @@ def neighbour_features(edges: DataFrame, seeds: DataFrame, sources: Sequence[str
 
 # ---- collapsing annotation rows ---------------------------------------------
 
-def distinct_joined(df: DataFrame, key: str, columns: Sequence[str], sep: str = "|") -> DataFrame:
-    """Sorted distinct values per key, joined, for several columns.
+def distinct_joined(df: DataFrame, key: str, columns: Sequence[str], sep: str = "|",
+                    longest: int = 10_000) -> DataFrame:
+    """Sorted distinct values per key, joined, for several columns: `(key, part, columns...)`.
 
-    Values are made distinct before they are gathered, so repeats never meet in one task.
+    Values are made distinct and numbered over the whole table first; a key with more than
+    `longest` of them in a column goes on in the next `part`, so no task gathers more.
     """
-    out = None
-    for c in columns:
-        pairs = df.select(key, F.col(c).cast("string").alias(c)).filter(F.col(c).isNotNull()).distinct()
-        joined = pairs.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(c)), sep).alias(c))
-        out = joined if out is None else out.join(joined, key, "full")
-    return out
+    long = df.select(key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value")) for c in columns
+    ])).alias("s")).select(key, "s.*").filter(F.col("_value").isNotNull()).distinct()
+    placed = number_rows(long, ["_value"], "_pos", [key, "_column"])
+    part = F.floor((F.col("_pos") - 1) / longest).alias("part")
+    return placed.groupBy(key, part).agg(*[
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_column") == c, F.col("_value")))), sep).alias(c)
+        for c in columns])
 
 
 def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Sequence[str], sep: str = "|",
@@ -314,7 +320,7 @@ def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Seq
     """Rows per key: distinct values joined, phrases and tags joined in order.
 
     Phrases are sorted with those starting with `{`, `[` or `?` last. A key with more than
-    `longest` phrases comes as several rows, numbered by `part`, in phrase order.
+    `longest` different phrases (or values) comes as several rows, numbered by `part`.
     """
     bottom = F.col(phrase).substr(1, 1).isin("{", "[", "?").cast("int")
     rows = df.select(key, phrase, tag, bottom.alias("_bottom"))
@@ -330,7 +336,7 @@ def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Seq
         return F.array_join(F.flatten(repeated), sep)
 
     texts = listed.select(key, "part", joined(phrase).alias(phrase), joined(tag).alias(tag))
-    return texts.join(distinct_joined(df, key, distinct, sep), key, "left")
+    return texts.join(distinct_joined(df, key, distinct, sep, longest), [key, "part"], "full")
 
 
 def annotated_map(df: DataFrame, key: str, phrases: str, distinct: Sequence[str], tags: Mapping[str, str],
@@ -365,10 +371,13 @@ def homogenise(df: DataFrame, feature: str, columns: Sequence[str],
 
 def assemble(universe: DataFrame, seeds: DataFrame, tables: Sequence[DataFrame],
              zero_fill: Sequence[str] = ()) -> DataFrame:
-    """The wide feature table: every entity of the universe, label, all features; keys proved unique."""
+    """The wide feature table: every entity of the universe, label, all features; keys proved unique.
+
+    The table is written once; the uniqueness check then only reads its key column.
+    """
     marks = seeds.select("entity_id").distinct().withColumn("label", F.lit(1))
     table = left_chain(universe.select("entity_id"), [marks, *tables]).fillna(0, subset=["label", *zero_fill])
-    return require_unique(table)
+    return require_unique(pin(table, "features"))
 
 
 def add_on_for(run_name: str, add_ons: Mapping[str, object]):

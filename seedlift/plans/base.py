@@ -53,7 +53,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
     """Standardised features; the raw table is written once and read from there on."""
-    return standardise(pin(features(spark, sf), "features"), FEATURES)
+    return standardise(features(spark, sf), FEATURES)
 
 
 def membership(table_: DataFrame, iterations: int = ITERATIONS) -> DataFrame:

@@ -13,6 +13,7 @@ from seedlift.operators.order import number_rows
 from seedlift.operators.prep import null_profile, zero_columns
 from seedlift.plans import base as B
 from seedlift.plans.registry import query, table
+from seedlift.runtime import pin
 
 def _id(column: str):
     return F.col(column).cast("string").alias("entity_id")
@@ -455,8 +456,8 @@ l AS (SELECT doc_id, string_agg(name, '|' ORDER BY token) AS names FROM (SELECT
 SELECT doc_id, names FROM documents LEFT JOIN l USING (doc_id)""")
 def id_list_lookup(spark, sf):
     docs = table(spark, sf, "documents")
-    common = T.term_counts(docs, "text", ("",), 500, digits=True).select(
-        "token", F.concat_ws(":", "token", "n").alias("name"))
+    common = pin(T.term_counts(docs, "text", ("",), 500, digits=True).select(
+        "token", F.concat_ws(":", "token", "n").alias("name")), "lookup")
     rows = docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("ids"))
     return J.lookup_list(rows, "doc_id", "ids", common, "token", "name").drop("ids")
 

@@ -44,11 +44,6 @@ def clean_column_name(name: str) -> str:
     return name.replace("(", "").replace(")", "").replace("__", "_")
 
 
-def words(column: str | Column) -> Column:
-    """Lower-cased whitespace-separated tokens, empty ones left out."""
-    col = F.col(column) if isinstance(column, str) else column
-    return F.filter(F.split(F.lower(col), r"\s+"), lambda w: w != "")
-
 
 def attribute(column: str | Column, key: str) -> Column:
     """Value of `key "value"` in an attribute column (null when absent)."""

@@ -35,7 +35,15 @@ def principal_components(df: DataFrame, components: int = 20, width: int | None
 
 
 def cluster(df: DataFrame, clusters: int = 15, dimensions: int = 2, seed: int = 1) -> DataFrame:
-    """Hierarchical (bisecting) clusters of the first principal components, as `cluster`."""
-    points = df.withColumn("_xy", array_to_vector(F.slice("pcs", 1, dimensions)))
+    """Hierarchical (bisecting) clusters of the first principal components, as `cluster`.
+
+    MLlib starts each split from the centre moved by a fraction of its own length, which
+    for centred data is no move at all; so points are shifted away from the origin first.
+    """
+    axes = range(min(dimensions, len(df.select("pcs").first()[0])))
+    ends = df.agg(*[e for i in axes for e in (
+        F.min(F.col("pcs")[i]).alias(f"a{i}"), F.max(F.col("pcs")[i]).alias(f"b{i}"))]).first()
+    shifted = [F.col("pcs")[i] - F.lit(2 * ends[f"a{i}"] - ends[f"b{i}"]) for i in axes]
+    points = df.withColumn("_xy", array_to_vector(F.array(*shifted)))
     model = BisectingKMeans(k=clusters, featuresCol="_xy", predictionCol="cluster", seed=seed).fit(points)
     return model.transform(points).drop("_xy")

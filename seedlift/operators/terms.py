@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.functions.text import matches_any, term_pattern, words
+from seedlift.functions.text import matches_any, term_pattern
 from seedlift.operators.order import shuffled_positions
 
 # Common English words left out of term counts.
@@ -73,8 +73,8 @@ def random_seeds(entities: DataFrame, label: str = "label", salt: str = "random"
 def term_counts(df: DataFrame, column: str, stopwords: Sequence[str] = STOPWORDS, more_than: int = 1,
                 digits: bool = False) -> DataFrame:
     """Occurrences of each token outside `stopwords`; all-digit tokens only count with `digits`."""
-    tokens = df.select(F.explode(words(column)).alias("token"))
-    kept = tokens.filter(~F.col("token").isin(*stopwords))
+    tokens = df.select(F.explode(F.split(F.lower(column), r"\s+")).alias("token"))
+    kept = tokens.filter(~F.col("token").isin("", *stopwords))
     if not digits:
         kept = kept.filter(~F.col("token").rlike("^[0-9]+$"))
     return kept.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > more_than)

@@ -136,7 +136,7 @@ def downsample(spark, sf):
     return P.downsample(B.entities(spark, sf), 1.5)
 
 
-_PREP_CORR = ["n_lines", "qty", "price", "disc", "size", "twice"]
+_PREP_CORR = ["n_lines", "price", "disc", "size", "thrice", "noisy"]
 
 
 @query("prepared_features", f"""WITH {B.FEATS}, t AS (SELECT f.*, p_type FROM feats f JOIN part ON CAST(p_partkey AS VARCHAR) = entity_id)
@@ -146,7 +146,9 @@ SELECT entity_id, label, """ + ", ".join(
     f"CASE WHEN p_type = '{t}' THEN 1 ELSE 0 END AS kind_{t}" for t in _TYPES) + " FROM t")
 def prepared_features(spark, sf):
     kinds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_type").alias("kind"))
-    wide = _wide(spark, sf).select("entity_id", "label", *_PREP_CORR, "empty").join(kinds, "entity_id")
+    extra = B.features(spark, sf).withColumn("thrice", 3 * F.col("n_lines")).withColumn(
+        "noisy", F.col("n_lines") + F.col("size") / 20).withColumn("empty", F.lit(0))
+    wide = extra.select("entity_id", "label", *_PREP_CORR, "empty").join(kinds, "entity_id")
     out = P.prepare(pin(wide, "features"))[1]
     return out.select(*[F.round(c, 6).alias(c) if c in _PREP_CORR else c for c in out.columns])
 

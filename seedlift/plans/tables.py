@@ -456,7 +456,7 @@ l AS (SELECT doc_id, string_agg(name, '|' ORDER BY token) AS names FROM (SELECT
 SELECT doc_id, names FROM documents LEFT JOIN l USING (doc_id)""")
 def id_list_lookup(spark, sf):
     docs = table(spark, sf, "documents")
-    common = pin(T.term_counts(docs, "text", ("",), 500, digits=True).select(
+    common = pin(T.term_counts(docs, "text", (), 500, digits=True).select(
         "token", F.concat_ws(":", "token", "n").alias("name")), "lookup")
     rows = docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("ids"))
     return J.lookup_list(rows, "doc_id", "ids", common, "token", "name").drop("ids")

@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedlift.runtime import at_most, pin
+
 MODEL_KEYS = ["iter", "block", "fold"]
-# Seeds are in every block: copied to all executors up to this many.
-SEED_ROWS = 500_000
+# Seeds are in every block: copied to all executors up to this many values (64 MB of doubles).
+SEED_VALUES = 8_000_000
 VARIANCE_FLOOR = 1e-6
 
 
@@ -27,7 +29,7 @@ def with_features(membership: DataFrame, features: DataFrame, columns: Sequence[
     seeds = membership.filter("label = 1")
     others = membership.filter("label = 0")
     seed_rows = features.filter("label = 1").select("entity_id", *columns)
-    if seed_rows.limit(SEED_ROWS + 1).count() <= SEED_ROWS:
+    if at_most(seed_rows.select("entity_id"), SEED_VALUES // (len(columns) + 4)):
         seed_rows = F.broadcast(seed_rows)
     return others.join(narrow, "entity_id").unionByName(seeds.join(seed_rows, "entity_id"))
 
@@ -55,17 +57,24 @@ def fit_models(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         *MODEL_KEYS, "n_0", "n_1", *[f"m{i}_{y}" for i in range(len(columns)) for y in (0, 1)], *variances)
 
 
-def naive_bayes_scores(membership: DataFrame, features: DataFrame, columns: Sequence[str],
-                       clf: str = "NaiveBayes") -> DataFrame:
-    """Out-of-fold `(clf, iter, block, fold, entity_id, label, proba)`; null where a class has no training rows."""
-    rows = with_features(membership, features, columns)
-    models = fit_models(rows, columns)
+def score_rows(rows: DataFrame, columns: Sequence[str], clf: str = "NaiveBayes") -> DataFrame:
+    """Out-of-fold `(clf, iter, block, fold, entity_id, label, proba)`; null where a class has no training rows.
+
+    The models (iterations x blocks x folds rows) are written first: with their size
+    known, Spark broadcasts them up to its threshold and leaves `rows` unshuffled. Beyond
+    it there are so many models that the shuffled join has many small, even groups.
+    """
+    models = pin(fit_models(rows, columns), "models")
     odds = "ln(nullif(n_1, 0D) / nullif(n_0, 0D))" + "".join(
         f" + (`{c}` - m{i}_0) * (`{c}` - m{i}_0) / (2 * v{i}_0) - (`{c}` - m{i}_1) * (`{c}` - m{i}_1) / (2 * v{i}_1)"
         f" + 0.5D * ln(v{i}_0 / v{i}_1)" for i, c in enumerate(columns))
-    # Models number iterations x blocks x folds; adaptive execution broadcasts them if
-    # their measured size allows and splits skewed partitions if it does not.
     scored = rows.join(models, MODEL_KEYS).selectExpr(*MODEL_KEYS, "entity_id", "label", f"{odds} AS odds")
     return scored.selectExpr(
         f"'{clf}' AS clf", *MODEL_KEYS, "entity_id", "label",
         "CASE WHEN odds IS NOT NULL THEN 1D / (1D + exp(-greatest(least(odds, 700D), -700D))) END AS proba")
+
+
+def naive_bayes_scores(membership: DataFrame, features: DataFrame, columns: Sequence[str],
+                       clf: str = "NaiveBayes") -> DataFrame:
+    """Scores of every membership row; rows and features are joined once and read twice."""
+    return score_rows(pin(with_features(membership, features, columns), "rows"), columns, clf)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from seedlift.runtime import at_most, pieces
 
-# A lookup up to this many rows may be copied to every executor.
-SMALL_ROWS = 200_000
+# A lookup up to this many values (rows x columns) may be copied to every executor.
+SMALL_VALUES = 1_000_000
 
 
 def _list(on: str | Sequence[str]) -> list[str]:
@@ -59,7 +59,8 @@ def merge_reports(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return left.join(right, left[left_key] == right[right_key], "full")
 
 
-def attach(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str],
+           small_values: int = SMALL_VALUES) -> DataFrame:
     """Left join onto a lookup with one row per key, whatever the key's skew in `rows`.
 
     A small lookup (counted, not guessed) is broadcast. Otherwise keys holding more
@@ -67,7 +68,7 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], small_ro
     lookup rows by broadcast and are salted away from the shuffled join.
     """
     on = _list(on)
-    if at_most(lookup, small_rows):
+    if at_most(lookup, small_values // len(lookup.columns)):
         return rows.join(F.broadcast(lookup), on, "left")
     n = pieces(rows.sparkSession)
     limit = max(1, rows.count() // n)
@@ -99,9 +100,10 @@ def lookup_list(df: DataFrame, row_id: str, ids: str, lookup: DataFrame, key: st
 
 
 def map_ids(df: DataFrame, mapping: DataFrame, supplement: DataFrame, on: str = "entity_id") -> tuple[DataFrame, DataFrame]:
-    """Map ids with a manual supplement added; returns (mapped, unmapped keys)."""
-    whole = mapping.unionByName(supplement).dropDuplicates()
-    return df.join(whole, on, "inner"), df.select(on).distinct().join(whole.select(on), on, "left_anti")
+    """Map ids (one target each) with a manual supplement added; returns (mapped, unmapped keys)."""
+    whole = mapping.unionByName(supplement).dropDuplicates([on]).withColumn("_found", F.lit(1))
+    mapped = attach(df, whole, on).filter("_found = 1").drop("_found")
+    return mapped, df.select(on).distinct().join(whole.select(on), on, "left_anti")
 
 
 def require_unique(df: DataFrame, key: str = "entity_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import flag
 from seedlift.operators.bagging import pu_membership
-from seedlift.operators.bayes import naive_bayes_scores
+from seedlift.operators.bayes import naive_bayes_scores, score_rows, with_features
 from seedlift.operators.features import assemble
 from seedlift.operators.joins import label_known
 from seedlift.operators.prep import standardise
@@ -72,11 +72,11 @@ def scores(spark: SparkSession, sf: str, iterations: int = ITERATIONS) -> DataFr
 
 
 def variant_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of all variants over one membership and one feature table."""
+    """Scores of all variants over one table of membership rows with features."""
     table_ = scaled(spark, sf)
-    members = membership(table_)
+    rows = pin(with_features(membership(table_), table_, FEATURES), "rows")
     return pin(rounded(reduce(DataFrame.unionByName, [
-        naive_bayes_scores(members, table_, columns, name) for name, columns in VARIANTS.items()])), "scores")
+        score_rows(rows, columns, name) for name, columns in VARIANTS.items()])), "scores")
 
 
 def external(spark: SparkSession, sf: str) -> DataFrame:

@@ -212,10 +212,13 @@ _RULES = ((r"^(1-URGENT|2-HIGH)", "high"), (r"^5-LOW", "low"))
 
 def _importance(spark, sf):
     """Mean order value per (priority, status) and segment: stands in for feature importance per study."""
-    orders = table(spark, sf, "orders").join(
-        table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    means = orders.groupBy(F.concat_ws("_", "o_orderpriority", "o_orderstatus").alias("feature")).pivot(
-        "c_mktsegment", _SEGMENTS).agg(F.avg("o_totalprice"))
+    # Orders are summed per customer before the join, so that no customer's orders meet in one task.
+    orders = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(
+        F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
+    joined = orders.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    means = joined.groupBy(F.concat_ws("_", "o_orderpriority", "o_orderstatus").alias("feature")).agg(*[
+        F.try_divide(F.sum(F.when(F.col("c_mktsegment") == m, F.col("s"))),
+                     F.sum(F.when(F.col("c_mktsegment") == m, F.col("n")))).alias(m) for m in _SEGMENTS])
     return X.homogenise(means, "feature", _SEGMENTS, _RULES)
 
 

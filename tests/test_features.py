@@ -19,7 +19,7 @@ def test_attach_salts_hot_keys(spark):
     rows = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
     lookup = spark.createDataFrame([("hot", 1, "H")] + [(f"k{i}", i, None) for i in range(40)], "k string, a int, b string")
     small = J.attach(rows, lookup, "k").orderBy("id").toPandas()
-    large = J.attach(rows, lookup, "k", small_rows=0).orderBy("id").toPandas()
+    large = J.attach(rows, lookup, "k", small_values=0).orderBy("id").toPandas()
     pd.testing.assert_frame_equal(small[["id", "k", "a", "b"]], large[["id", "k", "a", "b"]])
     assert len(large) == n and (large[large.k == "hot"].a == 1).all() and large[large.k == "k45"].a.isna().all()
 
@@ -184,3 +184,19 @@ def test_shadow_decisions(spark):
     rows = spark.createDataFrame([(r, "f", "Confirmed") for r in range(6)] + [(0, "g", "Tentative")], "run int, feature string, decision string")
     got = {r.feature: (r.confirmed, r.rejected, r.final) for r in shadow.final_decisions(rows, 10).collect()}
     assert got == {"f": (60.0, 40.0, "Confirmed"), "g": (0.0, 90.0, "Rejected")}
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(8)
+    n = 6001
+    pdf = pd.DataFrame({"entity_id": [f"e{i}" for i in range(n)], "a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float),
+                        "c": np.where(rng.random(n) < 0.4, np.nan, rng.exponential(size=n)), "e": np.nan})
+    df = P.nan_to_null(spark.createDataFrame(pdf))
+    got = X.medians(df, ["a", "b", "c", "e"])
+    for c in "abc":
+        assert got[c] == pytest.approx(pdf[c].median(), rel=1e-12), c
+    assert got["e"] is None
+    few = X.medians(df.limit(0), ["a"])
+    assert few == {"a": None}
+    two = X.medians(spark.createDataFrame([("x", 1.0), ("y", 4.0)], "entity_id string, a double"), ["a"])
+    assert two == {"a": 2.5}

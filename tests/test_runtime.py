@@ -5,28 +5,25 @@ import pytest
 from seedlift import runtime
 
 
-def test_pin_uses_the_named_folder(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        pinned = runtime.pin(spark.range(5), "five")
-        assert pinned.count() == 5 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["five"]
-        assert runtime.at_most(pinned, 5) and not runtime.at_most(pinned, 4)
-        spark.conf.unset("spark.checkpoint.dir")
-        assert runtime.checkpoint_root(spark)
-    finally:
-        if old:
-            spark.conf.set("spark.checkpoint.dir", old)
+class Unset:
+    def get(self, *_):
+        return None
 
 
-def test_no_machine_local_folder_on_a_cluster():
-    class Conf:
-        def get(self, *_):
-            return None
+def test_pin_uses_the_named_folder(spark):
+    pinned = runtime.pin(spark.range(5), "five")
+    assert pinned.count() == 5 and runtime.at_most(pinned, 5) and not runtime.at_most(pinned, 4)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert all(f"{named}/five-" in f for f in pinned.inputFiles())
+
 
-    class Session:
-        conf = Conf()
-        sparkContext = type("C", (), {"master": "yarn"})
+def test_local_sessions_get_a_folder_of_their_own():
+    local = type("Session", (), {"conf": Unset(), "sparkContext": type("C", (), {"master": "local[2]"})})
+    assert runtime.checkpoint_root(local) == runtime.checkpoint_root(local)
 
+
+def test_no_machine_local_folder_on_a_cluster():
+    cluster = type("Session", (), {"conf": Unset(), "sparkContext": type("C", (), {"master": "yarn"})})
     with pytest.raises(RuntimeError):
-        runtime.checkpoint_root(Session())
+        runtime.checkpoint_root(cluster)

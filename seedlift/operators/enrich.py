@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import phred
 from seedlift.functions.tails import hypergeom_tail
-from seedlift.operators.joins import drop_listed, keep_listed, label_known
+from seedlift.operators.joins import attach, drop_listed, keep_listed, label_known
 from seedlift.operators.order import number_rows, shuffled_positions
 from seedlift.operators.scores import top_fraction
+from seedlift.runtime import pin
 
 
 def require_probabilities(df: DataFrame, p: str = "p") -> DataFrame:
@@ -64,6 +67,8 @@ def hypergeom_steps(
     max_overlap: int = 50,
     has_p: bool = True,
     significance: float = 0.05,
+    keys: Sequence[str] = (),
+    lists: Sequence[str] = (),
 ) -> DataFrame:
     """One row per external entity among the ranking's top fraction, in external order.
 
@@ -71,23 +76,36 @@ def hypergeom_steps(
     p = P(X >= x), X ~ Hypergeometric(external rows, overlap, external rank).
     `before_cutoff` marks rows before the first with p-value above `significance`, or
     the first `max_overlap` rows when the list has no p-values.
+    `keys` name several rankings in one table (`clf`), `lists` several external lists;
+    every combination is stepped through in the same pass.
     """
+    keys, lists = list(keys), list(lists)
+    by = keys + lists
     if remove is not None:
         ranking = drop_listed(ranking, remove)
-    top = top_fraction(ranking.select("entity_id", score), score, ratio)
-    population = external.agg(F.count("*")).scalar()
-    kept = external.select("entity_id", "p", "external_rank").join(top, "entity_id")
-    placed = number_rows(kept, [F.col("external_rank")], "_nth", total="successes")
-    placed = placed.withColumn("population", population.cast("bigint")).withColumn(
-        "x", F.col("_nth") - (0 if strict else 1))
-    steps = placed.withColumn("hyper_p", hypergeom_tail("x", "population", "successes", "external_rank"))
-    if has_p:
-        first_weak = placed.filter(F.col("p") > significance).agg(F.min("_nth")).scalar()
-        before = F.coalesce(F.col("_nth") < first_weak, F.lit(True))
+    top = top_fraction(ranking.select(*keys, "entity_id", score), score, ratio, keys=keys)
+    kept = external.select(*lists, "entity_id", "p", "external_rank").join(top, "entity_id")
+    placed = number_rows(kept, [F.col("external_rank")], "_nth", by, total="successes")
+    if lists:
+        placed = attach(placed, pin(external.groupBy(*lists).agg(F.count("*").alias("population")), "sizes"), lists)
     else:
+        placed = placed.withColumn("population", external.agg(F.count("*")).scalar().cast("bigint"))
+    if not has_p:
         before = F.col("_nth") <= max_overlap
-    return steps.withColumn("phred", phred("hyper_p")).withColumn("before_cutoff", before.cast("int")).withColumn(
-        "step", F.col("_nth") - 1).drop("_nth")
+    else:
+        weak = placed.filter(F.col("p") > significance)
+        if by:
+            placed = attach(placed, pin(weak.groupBy(*by).agg(F.min("_nth").alias("_weak")), "cutoffs"), by)
+            first_weak = F.col("_weak")
+        else:
+            first_weak = weak.agg(F.min("_nth")).scalar()
+        before = F.coalesce(F.col("_nth") < first_weak, F.lit(True))
+    placed = placed.withColumn("x", F.col("_nth") - (0 if strict else 1)).withColumn("step", F.col("_nth") - 1)
+    placed = placed.withColumn("before_cutoff", before.cast("int"))
+    steps = placed.withColumn("hyper_p", hypergeom_tail("x", "population", "successes", "external_rank"))
+    return steps.withColumn("phred", phred("hyper_p")).select(
+        *by, "entity_id", "p", "external_rank", score, "rank", "successes", "population", "x", "step", "before_cutoff",
+        "hyper_p", "phred")
 
 
 def best_enrichment(steps: DataFrame) -> DataFrame:
@@ -97,9 +115,10 @@ def best_enrichment(steps: DataFrame) -> DataFrame:
                      F.sum("before_cutoff").alias("n_before_cutoff"))
 
 
-def overlap_table(steps: DataFrame, percentiles: DataFrame, seeds: DataFrame) -> DataFrame:
+def overlap_table(steps: DataFrame, percentiles: DataFrame, seeds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Overlap rows before the cutoff with rank, score, percentile, external rank and known flag."""
-    rows = steps.filter("before_cutoff = 1").join(percentiles.select("entity_id", "percentile"), "entity_id", "left")
+    on = [*keys, "entity_id"]
+    rows = steps.filter("before_cutoff = 1").join(percentiles.select(*on, "percentile"), on, "left")
     return label_known(rows, seeds, name="known").fillna(0, subset=["percentile", "p"])
 
 

@@ -276,6 +276,19 @@ def set_flags(sets: DataFrame, terms: Sequence[str], prefix: str = "GO_", regex:
         F.max(flag(matches_any("set_name", [t], regex))).alias(prefix + t.replace(" ", "_")) for t in terms])
 
 
+def all_set_flags(sets: DataFrame, at_least: int = 150, most: int = 1000, prefix: str = "GO_") -> DataFrame:
+    """One 0/1 column for every set of at least that many members."""
+    large = large_sets(sets, at_least)
+    return pivot_levels(large, "entity_id", "set_name", F.lit(1), category_values(large, "set_name", most), prefix=prefix)
+
+
+def phenotype_flag(df: DataFrame, entity: str, phrase: str, include: Sequence[str], exclude: Sequence[str] = (),
+                   name: str = "phenotype") -> DataFrame:
+    """Entities with a phrase the terms choose, once each, flagged 1."""
+    chosen = term_filter(df, phrase, include, exclude)
+    return chosen.select(F.col(entity).cast("string").alias("entity_id")).distinct().withColumn(name, F.lit(1))
+
+
 def both_ways(edges: DataFrame, left: str = "left", right: str = "right", keep: Sequence[str] = ()) -> DataFrame:
     """Every edge from either end as `(entity_id, neighbour, ...)`."""
     one = edges.select(F.col(left).alias("entity_id"), F.col(right).alias("neighbour"), *keep)

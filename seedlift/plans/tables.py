@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import flag
 from seedlift.functions.text import json_number, tag_text
+from seedlift.jobs import Source, profile_sources
 from seedlift.operators import features as X
 from seedlift.operators import joins as J
 from seedlift.operators import terms as T
@@ -226,12 +227,10 @@ UNION ALL SELECT 'document source', source, count(*),
        CASE WHEN regexp_matches(source, '(?i)(o)') AND NOT regexp_matches(source, '(?i)(promo)') THEN 1 ELSE 0 END
 FROM documents GROUP BY 2""")
 def source_profiles(spark, sf):
-    out = None
-    for source, name, column in (("part type", "part", "p_type"), ("event", "events", "event_type"),
-                                 ("document source", "documents", "source")):
-        one = T.source_profile(table(spark, sf, name), column, ["o"], ["promo"]).withColumn("source", F.lit(source))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return profile_sources({
+        source: Source(table(spark, sf, name), column, ["o"], ["promo"])
+        for source, name, column in (("part type", "part", "p_type"), ("event", "events", "event_type"),
+                                     ("document source", "documents", "source"))})
 
 
 @query("explode_delimited", """
@@ -376,6 +375,21 @@ def set_membership_pivot(spark, sf):
     return J.reindex(flags, part.select(_id("p_partkey")))
 
 
+@query("all_set_flags", """
+WITH f AS (SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= 20))
+SELECT CAST(doc_id AS VARCHAR) AS entity_id, """ + ", ".join(
+    f"CASE WHEN lang = '{x}' THEN 1 ELSE 0 END AS lang_{x}" for x in ("de", "en", "es", "fr")) + " FROM f")
+def all_set_flags(spark, sf):
+    sets = table(spark, sf, "documents").select(F.col("lang").alias("set_name"), _id("doc_id"))
+    return X.all_set_flags(sets, 20, prefix="lang_")
+
+
+@query("phenotype_flag", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, 1 AS bought FROM events WHERE event_type = 'purchase'""")
+def phenotype_flag(spark, sf):
+    return X.phenotype_flag(table(spark, sf, "events"), "user_id", "event_type", ["PURCH", "sign"], ["signup"], "bought")
+
+
 @query("expression_rank", """
 WITH t AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS c,
   coalesce(sum(value) FILTER (event_type IN ('error', 'view')), 0) AS e FROM events GROUP BY 1),

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seedlift.jobs import compare_with_external, rank_entities
 from seedlift.operators import embed
 from seedlift.operators import learners as L
 from seedlift.operators import scores as S
 from seedlift.operators.bagging import pu_membership
 from seedlift.operators.bayes import with_features
+from seedlift.operators.enrich import best_enrichment, ties_at_random
 from seedlift.runtime import pin
 
 
@@ -59,3 +61,26 @@ def test_components_are_centred(spark):
     means = points.select(*[F.avg(F.col("pcs")[i]) for i in range(2)]).first()
     assert all(abs(m) < 1e-9 for m in means)
     assert embed.cluster(points, 4).select("cluster").distinct().count() == 4
+
+
+def test_whole_ranking_and_comparison(spark):
+    table = pin(spark.range(300).select(
+        F.concat(F.lit("e"), "id").alias("entity_id"), (F.col("id") < 30).cast("int").alias("label"),
+        (F.randn(1) + (F.col("id") < 60).cast("int") * 3).alias("a"), F.randn(2).alias("b")))
+    baseline = rank_entities(table, ["a", "b"], iterations=2, k=3)
+    assert baseline.ranked.count() == 300 and baseline.importance is None
+    run = rank_entities(table, ["a", "b"], {"LR": L.logistic(), "RF": L.random_forest(5, 3)}, iterations=1, ratio=4.0, k=2)
+    names = run.classifiers()
+    assert sorted(names) == ["LR", "RF"] and run.ranked.count() == 600
+    # Entities 30..59 look like seeds without being marked: the external list names them first.
+    external = spark.range(300).select(
+        F.concat(F.lit("e"), F.col("id")).alias("entity_id"), (F.abs(F.col("id") - 45) / 300.0).alias("p"),
+        F.lit(0).alias("external_rank"))
+    listed = ties_at_random(external, "x")
+    seeds = table.filter("label = 1").select("entity_id")
+    found = compare_with_external(run.ranked, listed, seeds, names, 0.2)
+    assert best_enrichment(found.steps.filter("clf = 'LR'")).first()["min_p"] < 1e-3
+    kinds = {r.known: r.n for r in found.consensus.groupBy("known").agg(F.count("*").alias("n")).collect()}
+    assert kinds[0] > kinds.get(1, 0)
+    novel = compare_with_external(run.ranked, listed, seeds, names, 0.2, remove_seeds=True)
+    assert novel.table.filter("known = 1").count() == 0

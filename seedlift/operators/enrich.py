@@ -23,10 +23,13 @@ def require_probabilities(df: DataFrame, p: str = "p") -> DataFrame:
     return df
 
 
-def external_ranking(df: DataFrame, order: Column, p: Column | None = None) -> DataFrame:
-    """`(entity_id, p, external_rank)` in `order`, ties by entity."""
+def external_ranking(df: DataFrame, order: Column, p: Column | None = None, p_from_rank: bool = False) -> DataFrame:
+    """`(entity_id, p, external_rank)` in `order`, ties by entity; `p_from_rank` takes rank / rows as p."""
     narrow = df.select("entity_id", order.alias("_o"), (F.lit(None).cast("double") if p is None else p).alias("p"))
-    return number_rows(narrow, [F.col("_o"), F.col("entity_id")], "external_rank").drop("_o")
+    ranked = number_rows(narrow, [F.col("_o"), F.col("entity_id")], "external_rank", total="_n")
+    if p_from_rank:
+        ranked = ranked.withColumn("p", F.col("external_rank") / F.col("_n").cast("double"))
+    return ranked.select("entity_id", "p", "external_rank")
 
 
 def load_ranking(external: DataFrame, pvalue: float | None = 0.05, top_ratio: float | None = None,

@@ -126,14 +126,13 @@ def association_hits(df: DataFrame, entities: str, p: str, effect: str, universe
         df = term_filter(df, phrase, include, exclude)
     hits = df.select(entities, F.col(p).cast("double").alias("P"), F.col(effect).cast("double").alias("E")).filter(
         F.col("P") < threshold)
-    # Merging equal rows of a name first keeps a name with most hits cheap to shuffle.
     per_entity = (
         explode_delimited(hits, entities, sep)
         .groupBy(F.col(entities).alias("entity_id"))
         .agg(F.count("P").alias("hits"), F.max("P").alias("max_P"), F.min("P").alias("min_P"),
              F.max("E").alias("max_E"), F.min("E").alias("min_E"))
     )
-    table = reindex(per_entity, universe, fill=None).fillna(0, subset=["hits"])
+    table = pin(reindex(per_entity, universe, fill=None).fillna(0, subset=["hits"]), "hits")
     filled = fill_with_median(table, ["max_P", "min_P", "max_E", "min_E"])
     out = filled.withColumn("flag", flag(F.col("hits") > 0))
     return out.toDF(*[c if c == "entity_id" else f"{prefix}_{c}" for c in out.columns])
@@ -230,7 +229,7 @@ def floor_ranks(df: DataFrame, total: str, rank: str = "rank", key: str = "entit
                 floor: str = "last") -> DataFrame:
     """Rank by `total`, largest first; rows below the truncated median get the last rank (or 0)."""
     numbered = number_rows(df, [F.col(total).desc(), F.col(key)], "_pos", total="_n")
-    cut = int(medians(df, [total], key)[total] or 0)
+    cut = int(medians(numbered, [total], key)[total] or 0)  # read from the numbered table, already written
     worst = F.col("_n") if floor == "last" else F.lit(0)
     return numbered.withColumn(rank, F.when(F.col(total) < cut, worst).otherwise(F.col("_pos"))).drop("_pos", "_n")
 

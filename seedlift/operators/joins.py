@@ -76,7 +76,9 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str],
     values = [c for c in lookup.columns if c not in on]
     hot = hot_keys.join(lookup, on, "left").select(
         *on, F.lit(True).alias("_hot"), F.struct(*values).alias("_hot_row"))
-    spread = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(F.lit(0))
+    # A null key matches nothing, so its rows are spread too.
+    loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on], F.coalesce(F.col("_hot"), F.lit(False)))
+    spread = F.when(loose, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(F.lit(0))
     marked = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", spread.cast("bigint"))
     cold = lookup.select(*on, F.struct(*values).alias("_cold_row")).withColumn("_salt", F.lit(0).cast("bigint"))
     joined = marked.join(cold, [*on, "_salt"], "left")

@@ -85,9 +85,7 @@ def external(spark: SparkSession, sf: str) -> DataFrame:
 
     revenue = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("entity_id")).agg(
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-    ranked = external_ranking(revenue, -F.col("revenue"))
-    total = revenue.agg(F.count("*")).scalar()
-    return ranked.withColumn("p", F.col("external_rank") / total.cast("double"))
+    return external_ranking(revenue, -F.col("revenue"), p_from_rank=True)
 
 
 # ---- the same in SQL --------------------------------------------------------------

@@ -57,7 +57,7 @@ def impute_zero(spark, sf):
 SELECT entity_id, label, coalesce(GWAS_deep, 0) AS GWAS_deep, coalesce(GnomAD_top, (SELECT median(GnomAD_top) FROM rare))
        AS GnomAD_top, coalesce(nothing, (SELECT median(nothing) FROM rare)) AS nothing FROM rare""")
 def impute_median(spark, sf):
-    filled = P.fill_zero(_rare(spark, sf).drop("scarce"))
+    filled = P.fill_zero(pin(_rare(spark, sf).drop("scarce"), "features"))
     return P.require_complete(P.fill_unknown(filled, ["GnomAD_top", "nothing"]))
 
 
@@ -100,10 +100,9 @@ def drop_correlated(spark, sf):
     unique = P.drop_duplicate_columns(wide)
     useful = P.drop_uninformative(unique)
     kept = P.drop_correlated(useful)
-    names = X.category_values(wide.select(F.explode(F.array(*[F.lit(c) for c in _CORR + ["empty"]])).alias("c")), "c")
     verdict = F.when(F.col("feature").isin(*kept.columns), "kept").when(F.col("feature").isin(*useful.columns), "correlated")
     verdict = verdict.when(F.col("feature").isin(*unique.columns), "uninformative").otherwise("duplicate")
-    return spark.createDataFrame([(n,) for n in names], "feature string").withColumn("verdict", verdict)
+    return spark.createDataFrame([(c,) for c in _CORR + ["empty"]], "feature string").withColumn("verdict", verdict)
 
 
 @query("standardise", f"""WITH {B.SCALED}

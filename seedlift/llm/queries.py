@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import contamination, neardup, sharding
+from seedlift.llm import bpe, contamination, neardup, sharding
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.read_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 8)

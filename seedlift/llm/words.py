@@ -26,13 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-    values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = _byte_values()
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+# The same with A-Z as a-z.
+_VALUES = BYTE_VALUES.copy()
+_VALUES[65:91] = _VALUES[97:123]
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _POWERS: list[np.ndarray] = []
@@ -48,7 +45,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashed_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = None) -> np.ndarray:
+    """Hashes of the non-empty byte spans `raw[begins[i]:ends[i]]`, in order and without overlap."""
+    values = BYTE_VALUES if values is None else values
+    hashes = np.empty(len(begins), np.uint64)
+    low = 0
+    while low < len(begins):  # slices of whole spans
+        base = begins[low]
+        high = max(int(np.searchsorted(ends, base + SLICE, side="right")), low + 1)
+        stretch = int(ends[high - 1] - base)
+        up, down = _powers(stretch)
+        sums = np.zeros(stretch + 1, np.uint64)
+        np.cumsum(values[raw[base:base + stretch]] * up[:stretch], out=sums[1:])
+        b, e = begins[low:high] - base, ends[low:high] - base
+        hashes[low:high] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+        low = high
+    return hashes
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each begins and the last ends; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
@@ -61,7 +76,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): text i has the words `hashes[bounds[i]:bounds[i + 1]]`."""
-    raw, at = _bytes(texts)
+    raw, at = text_bytes(texts)
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -75,19 +90,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends_text = at[1:][at[1:] > 0] - 1
     last[ends_text] = word[ends_text]
     begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = np.empty(len(begins), np.uint64)
-    low = 0
-    while low < len(begins):  # slices of whole words
-        base = begins[low]
-        high = max(int(np.searchsorted(ends, base + SLICE, side="right")), low + 1)
-        stretch = int(ends[high - 1] - base)
-        up, down = _powers(stretch)
-        sums = np.zeros(stretch + 1, np.uint64)
-        np.cumsum(_VALUES[raw[base:base + stretch]] * up[:stretch], out=sums[1:])
-        b, e = begins[low:high] - base, ends[low:high] - base
-        hashes[low:high] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
-        low = high
-    return hashes, np.searchsorted(begins, at)
+    return hashed_spans(raw, begins, ends, _VALUES), np.searchsorted(begins, at)
 
 
 def hashed_shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

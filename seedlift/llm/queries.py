@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import bpe, contamination, neardup, sharding
+from seedlift.llm import bpe, contamination, neardup, sharding, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out()
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 8)

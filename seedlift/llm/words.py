@@ -28,8 +28,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 # The same with A-Z as a-z.
-_VALUES = BYTE_VALUES.copy()
-_VALUES[65:91] = _VALUES[97:123]
+FOLDED_VALUES = BYTE_VALUES.copy()
+FOLDED_VALUES[65:91] = FOLDED_VALUES[97:123]
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _POWERS: list[np.ndarray] = []
@@ -74,23 +74,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): text i has the words `hashes[bounds[i]:bounds[i + 1]]`."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, ends, bounds): text i has the words `bounds[i]` to `bounds[i + 1]`."""
     raw, at = text_bytes(texts)
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     word = _IS_WORD[raw]
-    first = word.copy()
+    first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
-    starts_text = at[:-1][at[:-1] < n]
-    first[starts_text] = word[starts_text]
-    last = word.copy()
     last[:-1] &= ~word[1:]
-    ends_text = at[1:][at[1:] > 0] - 1
-    last[ends_text] = word[ends_text]
-    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return hashed_spans(raw, begins, ends, _VALUES), np.searchsorted(begins, at)
+    starts, ends = at[:-1][at[:-1] < n], at[1:][at[1:] > 0] - 1
+    first[starts], last[ends] = word[starts], word[ends]
+    begins = np.flatnonzero(first)
+    return raw, begins, np.flatnonzero(last) + 1, np.searchsorted(begins, at)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): text i has the words `hashes[bounds[i]:bounds[i + 1]]`."""
+    raw, begins, ends, bounds = word_spans(texts)
+    return hashed_spans(raw, begins, ends, FOLDED_VALUES), bounds
 
 
 def hashed_shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedlift.llm.common import checked
 from seedlift.runtime import at_most, pin
 
 #: Fixed value: what stands between words once A-Z count as letters.
@@ -166,3 +167,13 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
+                         item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`docs` without the contaminated documents; a text is judged alike wherever it stands."""
+    keyed = docs.select(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    bad = contamination(keyed, items, n, "key", "text", item_id, item_text).filter("contaminated").select(
+        F.col("doc_id").alias("_key")).distinct()
+    return docs.join(checked(pin(bad, "contaminated")),
+                     F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_key"), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import bpe, contamination, neardup, sharding, toxicity
+from seedlift.llm import bpe, contamination, neardup, passages, sharding, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
 
 
+@query("op5_substrings")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), toxicity.held_out()

@@ -12,7 +12,6 @@ letters, single digits, other runs and seven contractions, ids ending a word mar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seedlift.llm.common import text_key, whole_text
-from seedlift.llm.words import hashed_spans, in_slices, text_bytes
-from seedlift.runtime import pieces
-
-#: Bytes of input, as Spark estimates it, for each block.
-BLOCK_BYTES = 8 << 20
+from seedlift.llm.blocks import block_count, packed, squeeze, swell, unpacked
+from seedlift.llm.words import hashed_spans, text_bytes
 
 # Fixed value: the word pattern of this kind of tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -139,23 +134,9 @@ def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return raw, begins, ends, np.concatenate([rows, hard]), counts, hashed_spans(raw, begins, ends)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, "text"):
-        blobs = [pa.compress(t.as_buffer(), "zstd", asbytes=True) if t.is_valid and len(t.as_py()) else b"" for t in batch.column("text")]
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("doc_id"), sizes, pa.array(blobs, pa.binary())],
-            names=["block", "doc_id", "size", "blob"])
-
-
-def _unpacked(table: pa.Table) -> list[bytes]:
-    return [pa.decompress(b, size, "zstd", asbytes=True) if size else b""
-            for b, size in zip(table.column("blob").to_pylist(), table.column("size").to_pylist())]
-
-
 def _lister(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        raw, begins, ends, _, _, hashes = _block_words(_unpacked(table))
+        raw, begins, ends, _, _, hashes = _block_words(unpacked(table))
         distinct, first = np.unique(hashes, return_index=True)
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
         data = raw.tobytes()
@@ -163,7 +144,7 @@ def _lister(buckets: int):
         for b in np.unique(bucket).tolist():
             chosen = first[bucket == b]
             blob = b"\n".join([data[x:y] for x, y in zip(begins[chosen].tolist(), ends[chosen].tolist())])
-            rows.append((b, len(blob), pa.compress(blob, "zstd", asbytes=True)))
+            rows.append((b, len(blob), squeeze(blob)))
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()),
             "bucket": pa.array([r[0] for r in rows], pa.int64()), "size": pa.array([r[1] for r in rows], pa.int64()),
@@ -174,7 +155,7 @@ def _lister(buckets: int):
 def _encoder(content: Broadcast):
     def run(table: pa.Table) -> pa.Table:
         found = _tokenizer(content.value)
-        lists = [pa.decompress(w, size, "zstd", asbytes=True).decode().split("\n")
+        lists = [swell(w, size).decode().split("\n")
                  for w, size in zip(table.column("words").to_pylist(), table.column("size").to_pylist())]
         number: dict[str, int] = {}
         for words in lists:
@@ -189,7 +170,7 @@ def _encoder(content: Broadcast):
             row = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             blob = sizes[row].tobytes() + _gather(ids, starts[:-1][row], sizes[row]).tobytes()
             lengths.append(len(blob))
-            blobs.append(pa.compress(blob, "zstd", asbytes=True))
+            blobs.append(squeeze(blob))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                          "size": pa.array(lengths, pa.int64()), "ids": pa.array(blobs, pa.binary())})
     return run
@@ -204,13 +185,13 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 def _joiner(content: Broadcast, buckets: int, with_ids: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, _, order, counts, hashes = _block_words(_unpacked(texts))
+        _, _, _, order, counts, hashes = _block_words(unpacked(texts))
         distinct, code = np.unique(hashes, return_inverse=True)
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
         sizes, starts, parts, base = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
         for b, size, blob in zip(*[answers.column(c).to_pylist() for c in ("bucket", "size", "ids")]):
             mine = np.flatnonzero(bucket == b)
-            numbers = np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.int32)
+            numbers = np.frombuffer(swell(blob, size), np.int32)
             own, got = numbers[:len(mine)].astype(np.int64), numbers[len(mine):]
             sizes[mine] = own
             starts[mine] = base + np.concatenate([[0], np.cumsum(own)])[:-1]
@@ -245,11 +226,6 @@ def read_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def _block_count(docs: DataFrame) -> int:
-    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(pieces(docs.sparkSession), min(estimate // BLOCK_BYTES, 1 << 20))
-
-
 def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
@@ -257,17 +233,15 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     Null and empty texts have no ids; repeated rows each give a row; nothing is added
     or cut off. The digests are of the decimal ids and of the decoded text.
     """
-    blocks = _block_count(docs.select(text_col))
+    blocks = block_count(docs.select(text_col))
     buckets = max(1, blocks // 2)
     kind = dict(docs.dtypes)[id_col]
-    block = F.pmod(F.xxhash64(F.col(id_col), text_key(text_col)), F.lit(blocks)).cast("bigint")
-    packed = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(
-        _packed, f"block bigint, doc_id {kind}, size bigint, blob binary")
-    lists = packed.groupBy("block").applyInArrow(
+    rows = packed(docs, blocks, id_col, text_col)
+    lists = rows.groupBy("block").applyInArrow(
         _lister(buckets), "block bigint, bucket bigint, size bigint, words binary")
     answers = lists.groupBy("bucket").applyInArrow(
         _encoder(tokenizer), "block bigint, bucket bigint, size bigint, ids binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _joiner(tokenizer, buckets, with_ids),
         f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import bpe, contamination, neardup, passages, sharding, toxicity
+from seedlift.llm import bpe, contamination, ctw, neardup, passages, sharding, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(toxicity.held_out(remainder=1), F.lit(False))
+    scored = ctw.scores(table(spark, sf_dir, "documents"), ~held)
+    return scored.select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
+
+
 @query("op10_decontamination", r"""
 WITH docs AS (
     SELECT doc_id, regexp_extract_all(

@@ -8,7 +8,7 @@ exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedlift.llm.common import text_key, whole_text
-from seedlift.llm.words import in_slices
+from seedlift.llm.words import in_slices, mix, text_bytes
 from seedlift.runtime import pieces
 
 #: Bytes of input, as Spark estimates it, for each block.
@@ -77,3 +77,66 @@ def swollen_array(data: bytes, size: int, kind: type) -> np.ndarray:
     wide = np.dtype(kind).itemsize
     planes = np.frombuffer(swell(data, size * wide), np.uint8).reshape(wide, size)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+#: Reads (bytes, bounds of texts) and returns (64-bit keys, bounds of texts).
+Keyer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+LIST_SCHEMA = "block bigint, shard bigint, kind int, n bigint, keys binary, counts binary"
+
+
+def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, bounds) for runs of texts of about `most` bytes."""
+    low, total = 0, 0
+    for i, text in enumerate([*texts, None]):
+        if text is None or (total and total + len(text) > most):
+            if i > low:
+                yield low, *text_bytes(pa.array(texts[low:i], pa.large_binary()).cast(pa.large_string()))
+            low, total = i, 0
+        total += len(text or b"")
+
+
+def keyed(texts: list[bytes], keyer: Keyer) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, keys, bounds) for runs of texts, so that few positions are in memory at once."""
+    for low, raw, at in _chunks(texts):
+        yield low, *keyer(raw, at)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(shards)).astype(np.int64)
+
+
+def lister(keyers: dict[int, Keyer], shards: int):
+    """A block's distinct keys of every kind, by shard, with their counts in the texts that train."""
+    def run(table: pa.Table) -> pa.Table:
+        texts, trains = unpacked(table), table.column("trains").to_numpy()
+        rows = []
+        for kind, keyer in keyers.items():
+            parts = []
+            for low, keys, bounds in keyed(texts, keyer):
+                own, inverse = np.unique(keys, return_inverse=True)
+                learnt = np.repeat(trains[low:low + len(bounds) - 1], np.diff(bounds))
+                parts.append((own, np.bincount(inverse, learnt, len(own))))
+            if not parts:
+                continue
+            distinct, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.uint32)
+            shard = shard_of(distinct, shards)
+            for s in np.unique(shard).tolist():
+                mine = shard == s
+                rows.append((s, kind, int(mine.sum()), squeezed_array(distinct[mine]), squeezed_array(counts[mine])))
+        return pa.table({
+            "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()),
+            **{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(
+                (("shard", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))}})
+    return run
+
+
+def key_lists(table: pa.Table) -> list[np.ndarray]:
+    return [swollen_array(k, n, np.uint64) for k, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist())]
+
+
+def merged(table: pa.Table, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys of the blocks' lists, and their summed counts."""
+    counts = [swollen_array(c, n, np.uint32) for c, n in zip(table.column("counts").to_pylist(), table.column("n").to_pylist())]
+    distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)

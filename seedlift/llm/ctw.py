@@ -17,15 +17,16 @@ them up by text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.llm.blocks import block_count, packed, squeezed_array, swollen_array, unpacked
-from seedlift.llm.words import FOLDED_VALUES, hashed_spans, mix, text_bytes
+from seedlift.llm.blocks import (LIST_SCHEMA, block_count, key_lists, keyed, lister, merged, packed, shard_of, squeezed_array,
+                                 swollen_array, unpacked)
+from seedlift.llm.words import FOLDED_VALUES, hashed_spans
 from seedlift.runtime import pin
 
 DEPTH = 5
@@ -121,13 +122,16 @@ def log10_chances(strings: np.ndarray, mixed: np.ndarray, upper: tuple[np.ndarra
     return np.log10(mixed).sum(axis=1)
 
 
-def byte_strings(raw: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(strings, bounds): for each text, every byte and the end with the `depth` bytes before, as one number."""
+def byte_strings(raw: np.ndarray, at: np.ndarray, depth: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, bounds): for each text, every byte and the end with the `depth` bytes before, as one number.
+
+    Before a text stand end bytes; `fold` takes A-Z as a-z.
+    """
     n, texts = len(raw), len(at) - 1
     sizes = np.diff(at)
     stream = np.full(n + (texts + 1) * depth, END, np.uint8)
     place = np.arange(n) + np.repeat((np.arange(texts) + 1) * depth, sizes)
-    stream[place] = _LOWER[raw]
+    stream[place] = _LOWER[raw] if fold else raw
     out = np.zeros(len(stream) - depth, np.uint64)
     for k in range(depth + 1):
         out |= stream[depth - k:len(stream) - k].astype(np.uint64) << np.uint64(8 * k)
@@ -149,68 +153,14 @@ def token_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashed_spans(raw, begins, np.flatnonzero(last) + 1, FOLDED_VALUES), np.searchsorted(begins, at)
 
 
-def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, bounds) for runs of texts of about `most` bytes."""
-    low, total = 0, 0
-    for i, text in enumerate([*texts, None]):
-        if text is None or (total and total + len(text) > most):
-            if i > low:
-                yield low, *text_bytes(pa.array(texts[low:i], pa.large_binary()).cast(pa.large_string()))
-            low, total = i, 0
-        total += len(text or b"")
-
-
-def _keyed(texts: list[bytes], kind: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, keys, bounds): strings or words of each run of texts."""
-    for low, raw, at in _chunks(texts):
-        yield low, *(byte_strings(raw, at, depth) if kind == STRINGS else token_hashes(raw, at))
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(shards)).astype(np.int64)
-
-
-def _lister(depth: int, shards: int):
-    """A block's distinct strings and words, with their counts in the texts that train."""
-    def run(table: pa.Table) -> pa.Table:
-        texts, trains = unpacked(table), table.column("trains").to_numpy()
-        rows = []
-        for kind in (STRINGS, WORDS):
-            parts = []
-            for low, keys, bounds in _keyed(texts, kind, depth):
-                own, inverse = np.unique(keys, return_inverse=True)
-                learnt = np.repeat(trains[low:low + len(bounds) - 1], np.diff(bounds))
-                parts.append((own, np.bincount(inverse, learnt, len(own))))
-            if not parts:
-                continue
-            distinct, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.uint32)
-            shard = _shard(distinct, shards)
-            for s in np.unique(shard).tolist():
-                mine = shard == s
-                rows.append((s, kind, int(mine.sum()), squeezed_array(distinct[mine]), squeezed_array(counts[mine])))
-        return pa.table({
-            "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()),
-            **{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(
-                (("shard", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))}})
-    return run
-
-
-def _lists(table: pa.Table) -> list[np.ndarray]:
-    return [swollen_array(k, n, np.uint64) for k, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist())]
-
-
-def _merged(table: pa.Table, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct keys of the blocks' lists, and their summed counts."""
-    counts = [swollen_array(c, n, np.uint32) for c, n in zip(table.column("counts").to_pylist(), table.column("n").to_pylist())]
-    distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
+def _keyers(depth: int) -> dict:
+    return {STRINGS: partial(byte_strings, depth=depth), WORDS: token_hashes}
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """The strings of a shard with their counts; of its words one row: how many distinct ones and tokens train."""
     kind = table.column("kind")[0].as_py()
-    keys, counts = _merged(table, _lists(table))
+    keys, counts = merged(table, key_lists(table))
     if kind == WORDS:
         keys, counts = np.array([(counts > 0).sum()]), np.array([counts.sum()])
     return pa.table({"kind": pa.array(np.full(len(keys), kind), pa.int32()),
@@ -235,20 +185,20 @@ def _chances(depth: int, shards: int, upper: tuple[np.ndarray, ...]):
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _strings(table)
         chances = log10_chances(keys, subtree(keys, counts, depth)[0], upper)
-        return pa.table({"shard": _shard(keys, shards), "kind": pa.array(np.full(len(keys), STRINGS), pa.int32()),
+        return pa.table({"shard": shard_of(keys, shards), "kind": pa.array(np.full(len(keys), STRINGS), pa.int32()),
                          "key": keys.view(np.int64), "chance": chances})
     return run
 
 
 def _answers(lists: pa.Table, chances: pa.Table) -> pa.Table:
     """Per shard and block: log10 chances of the block's strings; training counts of its words."""
-    own = _lists(lists)
+    own = key_lists(lists)
     if own and lists.column("kind")[0].as_py() == STRINGS:
         keys = chances.column("key").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         keys, values = keys[order], chances.column("chance").to_numpy()[order]
     else:
-        keys, counts = _merged(lists, own)
+        keys, counts = merged(lists, own)
         values = counts.astype(np.float64)
     blobs = [squeezed_array(values[np.searchsorted(keys, k)]) for k in own]
     return pa.table({c: lists.column(c) for c in ("block", "shard", "kind", "n")} | {"values": pa.array(blobs, pa.binary())})
@@ -263,12 +213,12 @@ def _scorer(depth: int, shards: int, words: int, types: int, ends: int):
         floor = words + 0.5 * (types + 1)
         score, base, tokens, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for kind in (STRINGS, WORDS):
-            parts = [(low, *np.unique(keys, return_inverse=True), bounds) for low, keys, bounds in _keyed(content, kind, depth)]
+            parts = [(low, *np.unique(keys, return_inverse=True), bounds) for low, keys, bounds in keyed(content, _keyers(depth)[kind])]
             if not parts:
                 continue
             parts = [(low, own, inverse.astype(np.int32), bounds) for low, own, inverse, bounds in parts]
             distinct = np.unique(np.concatenate([p[1] for p in parts]))
-            shard, values = _shard(distinct, shards), np.zeros(len(distinct))
+            shard, values = shard_of(distinct, shards), np.zeros(len(distinct))
             for s in np.unique(shard).tolist():
                 values[shard == s] = got[kind, s]
             for low, own, inverse, bounds in parts:
@@ -302,7 +252,7 @@ def scores(docs: DataFrame, trains: Column, depth: int = DEPTH, id_col: str = "d
     shards = max(1, blocks // 2)
     rows = packed(docs, blocks, id_col, text_col, trains=F.coalesce(trains, F.lit(False)))
     lists = pin(rows.groupBy("block").applyInArrow(
-        _lister(depth, shards), "block bigint, shard bigint, kind int, n bigint, keys binary, counts binary"), "lists")
+        lister(_keyers(depth), shards), LIST_SCHEMA), "lists")
     totals = pin(lists.groupBy("kind", "shard").applyInArrow(_totals, "kind int, key bigint, n bigint"), "totals")
     told = totals.filter(F.col("kind") == WORDS).agg(F.sum("key").alias("types"), F.sum("n").alias("tokens")).first()
     ends = docs.filter(F.coalesce(trains, F.lit(False))).count()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import bpe, contamination, ctw, neardup, passages, sharding, toxicity
+from seedlift.llm import bpe, contamination, ctw, neardup, passages, quality, sharding, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    return quality.judge(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op4_minhash")
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
+
+
 @query("op5_substrings")
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
@@ -95,8 +106,3 @@ FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_i
 """)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-@query("op4_minhash")
-def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")

@@ -22,6 +22,14 @@ def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(whole_text(text)))
 
 
+def unused(table: DataFrame, name: str) -> str:
+    """`name`, lengthened until `table` has no column of that name."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checked(small: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
     """`small`, marked for broadcast if counting proves it has at most `most` rows; else left to a shuffled join."""
     return F.broadcast(small) if at_most(small, most) else small

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.llm.common import checked
+from seedlift.llm.common import checked, unused
 from seedlift.runtime import at_most, pin
 
 #: Fixed value: what stands between words once A-Z count as letters.
@@ -112,8 +112,8 @@ def matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
     """(key, window, start, end): occurrences of each window; positions are word numbers, end exclusive.
 
     With `slop` 0 the words must follow each other exactly. Otherwise all of the
-    window's terms must stand, in any order, within `slop` further words of the place
-    that the rarest term's posting gives; the match is that stretch.
+    window's terms must stand, in any order, at most the window's length less 1 plus
+    `slop` words before or after the posting of its rarest term; the match is that stretch.
     """
     rows = index.join(anchors, "term").withColumn("_n", F.size("terms"))
     start = F.col("pos") - F.col("offset")
@@ -122,8 +122,9 @@ def matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
         whole = F.slice(around, F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("_n")) == F.col("terms")
         kept = rows.filter(start >= F.col("first")).filter(whole)
         return kept.select("key", "window", start.alias("start"), (start + F.col("_n")).alias("end")).distinct()
-    low = F.greatest(start - slop, F.col("first"))
-    near = F.slice(around, low - F.col("first") + 1, start + F.col("_n") + slop - low)
+    reach = F.col("_n") - 1 + slop
+    low = F.greatest(F.col("pos") - reach, F.col("first"))
+    near = F.slice(around, low - F.col("first") + 1, F.col("pos") + reach + 1 - low)
     kept = rows.withColumn("_near", near).filter(F.size(F.array_except("terms", F.col("_near"))) == 0)
     return kept.select("key", "window", low.alias("start"), (low + F.size("_near")).alias("end")).distinct()
 
@@ -172,8 +173,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
                          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs` without the contaminated documents; a text is judged alike wherever it stands."""
-    keyed = docs.select(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    name = unused(docs, "_key")
+    keyed = docs.select(own.alias("key"), F.col(text_col).alias("text"))
     bad = contamination(keyed, items, n, "key", "text", item_id, item_text).filter("contaminated").select(
-        F.col("doc_id").alias("_key")).distinct()
-    return docs.join(checked(pin(bad, "contaminated")),
-                     F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_key"), "left_anti")
+        F.col("doc_id").alias(name)).distinct()
+    return docs.join(checked(pin(bad, "contaminated")), own == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.llm.common import checked, text_key, whole_text
+from seedlift.llm.common import checked, text_key, unused, whole_text
 from seedlift.llm.words import FOLDED_VALUES, hashed_spans, in_slices, word_spans
 from seedlift.runtime import pin
 
@@ -75,10 +75,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_odds(bad: Column, n: Column, mean: Column, weight: float, base: float) -> Column:
-    """Log-odds against the base rate under a Dirichlet prior, less two standard deviations."""
+    """Log-odds against the base rate under a Dirichlet prior, less two standard deviations.
+
+    Half a count more in each class keeps a prior near 0 or 1 from making the deviation endless.
+    """
     yes, no = bad + weight * mean, (n - bad) + weight * (1 - mean)
     shift = float(np.log(base / (1 - base)))
-    return F.log(yes / no) - shift - 2 * F.sqrt(1 / yes + 1 / no)
+    return F.log(yes / no) - shift - 2 * F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id",
@@ -287,8 +290,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = fit(docs, labels.filter(~held_out(id_col)), id_col=id_col, text_col=text_col)
     if model is None:
         return docs
-    keyed = docs.select(F.col(id_col), F.col(text_col))
-    scored = score(keyed.withColumn("_k", F.struct(F.col(id_col), text_key(text_col).alias("key"))), model, "_k", text_col)
-    bad = pin(scored.filter("score >= 0.5").select(
-        F.col(f"doc_id.{id_col}").alias("_id"), F.col("doc_id.key").alias("_key")).distinct(), "toxic")
-    return docs.join(checked(bad), F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_anti")
+    name, key = unused(docs, "_id"), unused(docs, "_key")
+    marked = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key")).alias("mark"), F.col(text_col).alias("text"))
+    bad = pin(score(marked, model, "mark", "text").filter("score >= 0.5").select(
+        F.col("doc_id.id").alias(name), F.col("doc_id.key").alias(key)).distinct(), "toxic")
+    return docs.join(checked(bad), F.col(id_col).eqNullSafe(F.col(name)) & (text_key(text_col) == F.col(key)), "left_anti")

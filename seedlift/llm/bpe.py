@@ -12,7 +12,6 @@ letters, single digits, other runs and seven contractions, ids ending a word mar
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +38,6 @@ _UNDER = np.arange(256, dtype=np.uint8)
 _UNDER[65:91] += 32
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(content: str) -> Tokenizer:
-    found = Tokenizer.from_str(content)
-    found.no_truncation()
-    found.no_padding()
-    return found
-
-
-@lru_cache(maxsize=2)
-def _pieces(content: str) -> list[str]:
-    """The id-to-piece table."""
-    found = _tokenizer(content)
-    return [found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))]
-
-
 def words_of(text: str) -> list[str]:
     """A text's words, with the special tokens that it spells out."""
     out: list[str] = []
@@ -154,7 +138,7 @@ def _lister(buckets: int):
 
 def _encoder(content: Broadcast):
     def run(table: pa.Table) -> pa.Table:
-        found = _tokenizer(content.value)
+        found = content.value[0]
         lists = [swell(w, size).decode().split("\n")
                  for w, size in zip(table.column("words").to_pylist(), table.column("size").to_pylist())]
         number: dict[str, int] = {}
@@ -198,7 +182,7 @@ def _joiner(content: Broadcast, buckets: int, with_ids: bool):
             parts.append(got)
             base += len(got)
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        names = _pieces(content.value)
+        names = content.value[1]
         flat, cuts = ids.tolist(), list(zip(starts.tolist(), (starts + sizes).tolist()))
         numerals = [" ".join(map(str, flat[x:y])) for x, y in cuts]
         spelled = [" ".join([names[i] for i in flat[x:y]]) for x, y in cuts]
@@ -221,9 +205,12 @@ def _joiner(content: Broadcast, buckets: int, with_ids: bool):
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> Broadcast:
-    """The tokenizer file, a vocabulary of fixed size, for every executor."""
-    with open(path, encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(file.read())
+    """(tokenizer, its id-to-piece table), of fixed size, for every executor."""
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    names = [found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))]
+    return spark.sparkContext.broadcast((found, names))
 
 
 def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
@@ -252,7 +239,7 @@ def decode(encoded: DataFrame, tokenizer: Broadcast, id_col: str = "doc_id", ids
     Ids meet their pieces in a join with the vocabulary, which is of fixed size.
     """
     spark = encoded.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(enumerate(_pieces(tokenizer.value))), "id int, piece string"))
+    table = F.broadcast(spark.createDataFrame(list(enumerate(tokenizer.value[1])), "id int, piece string"))
     rows = encoded.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), ids_col).select(
         "_row", "doc_id", F.posexplode_outer(ids_col).alias("_pos", "id"))
     spelled = rows.join(table, "id", "left").groupBy("_row", "doc_id").agg(

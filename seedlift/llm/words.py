@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 
-#: Bytes that one pass works on.
-SLICE = 4 << 20
+#: Bytes of text in a batch, and bytes that one pass of hashing works on.
+SLICE, STRETCH = 4 << 20, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -32,29 +32,27 @@ FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = FOLDED_VALUES[97:123]
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        up = np.full(max(n, 1), _BASE, dtype=np.uint64)
-        down = np.full(max(n, 1), _INVERSE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0], _POWERS[1]
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 def hashed_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = None) -> np.ndarray:
     """Hashes of the non-empty byte spans `raw[begins[i]:ends[i]]`, in order and without overlap."""
     values = BYTE_VALUES if values is None else values
     hashes = np.empty(len(begins), np.uint64)
+    up, down = _powers(min(STRETCH, len(raw)))
     low = 0
-    while low < len(begins):  # slices of whole spans
+    while low < len(begins):  # stretches of whole spans
         base = begins[low]
-        high = max(int(np.searchsorted(ends, base + SLICE, side="right")), low + 1)
+        high = max(int(np.searchsorted(ends, base + STRETCH, side="right")), low + 1)
         stretch = int(ends[high - 1] - base)
-        up, down = _powers(stretch)
+        if stretch > len(up):
+            up, down = _powers(stretch)
         sums = np.zeros(stretch + 1, np.uint64)
         np.cumsum(values[raw[base:base + stretch]] * up[:stretch], out=sums[1:])
         b, e = begins[low:high] - base, ends[low:high] - base
@@ -111,10 +109,10 @@ def hashed_shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.
     return mix(rolled), out
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         cuts, total = [0], 0
         for i, size in enumerate(sizes.tolist()):
             if total and total + size > most:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.functions.numbers import phred
-from seedlift.functions.tails import hypergeom_tail
+from seedlift.functions.tails import hypergeom_log10
 from seedlift.operators.joins import attach, drop_listed, keep_listed, label_known
 from seedlift.operators.order import number_rows, shuffled_positions
 from seedlift.operators.scores import top_fraction
@@ -105,8 +104,9 @@ def hypergeom_steps(
         before = F.coalesce(F.col("_nth") < first_weak, F.lit(True))
     placed = placed.withColumn("x", F.col("_nth") - (0 if strict else 1)).withColumn("step", F.col("_nth") - 1)
     placed = placed.withColumn("before_cutoff", before.cast("int"))
-    steps = placed.withColumn("hyper_p", hypergeom_tail("x", "population", "successes", "external_rank"))
-    return steps.withColumn("phred", phred("hyper_p")).select(
+    steps = placed.withColumn("log10_p", hypergeom_log10("x", "population", "successes", "external_rank"))
+    # p itself is 0 below the smallest double; its logarithm and the Phred score are not.
+    return steps.withColumn("hyper_p", F.pow(F.lit(10.0), F.col("log10_p"))).withColumn("phred", F.abs(-10 * F.col("log10_p"))).select(
         *by, "entity_id", "p", "external_rank", score, "rank", "successes", "population", "x", "step", "before_cutoff",
         "hyper_p", "phred")
 
@@ -114,7 +114,8 @@ def hypergeom_steps(
 def best_enrichment(steps: DataFrame) -> DataFrame:
     """Smallest p and its Phred score before the cutoff."""
     low = F.min(F.when(F.col("before_cutoff") == 1, F.col("hyper_p")))
-    return steps.agg(low.alias("min_p"), phred(low).alias("max_phred"), F.count("*").alias("overlap"),
+    best = F.max(F.when(F.col("before_cutoff") == 1, F.col("phred")))
+    return steps.agg(low.alias("min_p"), best.alias("max_phred"), F.count("*").alias("overlap"),
                      F.sum("before_cutoff").alias("n_before_cutoff"))
 
 

@@ -154,7 +154,8 @@ def medians(df: DataFrame, columns: Sequence[str], key: str = "entity_id") -> di
     if not ends:
         return found
     row = df.agg(*[e for i, (n, (low, high)) in enumerate(ends.items()) for e in (
-        F.count(c[n]).alias(f"n{i}"), F.count_if(c[n] < low).alias(f"b{i}"))]).first()
+        F.count(c[n]).alias(f"n{i}"), F.count_if(c[n] < low).alias(f"b{i}"),
+        F.count_if(c[n].between(low, high)).alias(f"i{i}"))]).first()
     places, wanted = {}, []
     for i, (n, (low, high)) in enumerate(ends.items()):
         count, below = row[f"n{i}"], row[f"b{i}"]
@@ -163,6 +164,8 @@ def medians(df: DataFrame, columns: Sequence[str], key: str = "entity_id") -> di
             continue
         # 1-based positions of the middle rows among those at or above `low`.
         places[n] = ((count - 1) // 2 + 1 - below, count // 2 + 1 - below)
+        if places[n][0] < 1 or places[n][1] > row[f"i{i}"]:
+            raise ArithmeticError(f"the sketch's bracket {low} to {high} misses the median of {n}")
         wanted.append(F.when(c[n].between(low, high), F.struct(F.lit(n).alias("feature"), c[n].alias("value"))))
     if not places:
         return found
@@ -207,12 +210,16 @@ def collapse_tissue_levels(df: DataFrame, key: str, category: str, level: str, v
     return pivot_levels(df, key, category, recode(level, codes), values, prefix=prefix, suffix=suffix)
 
 
-def category_values(df: DataFrame, column: str, most: int = 1000) -> list:
-    """Sorted distinct values of a column, to fix a pivot's columns; raises beyond `most`."""
-    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return sorted(v for v in values if v is not None)
+def category_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column, to fix a pivot's columns: one column each, so as many as a table can have."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
+def category_flags(df: DataFrame, key: str, category: str, prefix: str = "") -> DataFrame:
+    """The long form of a pivot, for any number of values: `(entity_id, feature, value)`, value 1 for every pair that occurs."""
+    return df.filter(F.col(category).isNotNull()).select(
+        F.col(key).cast("string").alias("entity_id"), F.concat(F.lit(prefix), F.col(category).cast("string")).alias("feature")
+    ).distinct().withColumn("value", F.lit(1))
 
 
 def tissue_features(levels: DataFrame, rna: DataFrame, key: str, include: Sequence[str],
@@ -275,10 +282,15 @@ def set_flags(sets: DataFrame, terms: Sequence[str], prefix: str = "GO_", regex:
         F.max(flag(matches_any("set_name", [t], regex))).alias(prefix + t.replace(" ", "_")) for t in terms])
 
 
-def all_set_flags(sets: DataFrame, at_least: int = 150, most: int = 1000, prefix: str = "GO_") -> DataFrame:
-    """One 0/1 column for every set of at least that many members."""
+def all_set_flags(sets: DataFrame, at_least: int = 150, prefix: str = "GO_", names: Sequence[str] | None = None) -> DataFrame:
+    """Membership in every set of at least that many members, as rows `(entity_id, feature, value)`.
+
+    With `names`, one 0/1 column for each of these sets instead.
+    """
     large = large_sets(sets, at_least)
-    return pivot_levels(large, "entity_id", "set_name", F.lit(1), category_values(large, "set_name", most), prefix=prefix)
+    if names is None:
+        return category_flags(large, "entity_id", "set_name", prefix)
+    return pivot_levels(large, "entity_id", "set_name", F.lit(1), names, prefix=prefix)
 
 
 def phenotype_flag(df: DataFrame, entity: str, phrase: str, include: Sequence[str], exclude: Sequence[str] = (),

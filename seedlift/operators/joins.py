@@ -68,12 +68,12 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str],
     lookup rows by broadcast and are salted away from the shuffled join.
     """
     on = _list(on)
+    values = [c for c in lookup.columns if c not in on]
     if at_most(lookup, small_values // len(lookup.columns)):
-        return rows.join(F.broadcast(lookup), on, "left")
+        return rows.join(F.broadcast(lookup), on, "left").select(*rows.columns, *values)
     n = pieces(rows.sparkSession)
     limit = max(1, rows.count() // n)
     hot_keys = rows.groupBy(*on).count().filter(F.col("count") > limit).select(*on)
-    values = [c for c in lookup.columns if c not in on]
     hot = hot_keys.join(lookup, on, "left").select(
         *on, F.lit(True).alias("_hot"), F.struct(*values).alias("_hot_row"))
     # A null key matches nothing, so its rows are spread too.

@@ -11,6 +11,7 @@ task is never more than one row per range.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def _names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def join_alike(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the keys come from `rows`, whose column order stays."""
+    renamed = table.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in table.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return rows.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def lay_out(df: DataFrame, order: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
     """Pin `df` in global `order`; adds the range number and the row's offset in it.
 
@@ -57,7 +65,7 @@ def running(
     ranges: int | None = None,
     keep_range: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums of `sums` in `order` within `keys` (never null).
+    """Inclusive running sums of `sums` in `order` within `keys`; null is a key like any other.
 
     With `totals`, `<name>_total` carries the sum over the whole key.
     """
@@ -80,7 +88,7 @@ def running(
         *[c for c in laid.columns if c not in sums],
         *[F.sum(s).over(inside).alias(s) for s in sums],
     )
-    out = rows.join(bases, by)
+    out = join_alike(rows, bases, by)
     for s in sums:
         out = out.withColumn(s, F.col(s) + F.col(f"_base_{s}"))
     drop = [f"_base_{s}" for s in sums] + ([] if keep_range else [RANGE, AT])
@@ -120,28 +128,26 @@ def number_rows(
 def average_ranks(
     df: DataFrame,
     value: str,
-    tiebreak: Sequence[str] | str,
     keys: Sequence[str] = (),
     name: str = "rank_avg",
     total: str = "n",
 ) -> DataFrame:
-    """Ascending rank with ties given their mean rank, and the key's row count."""
+    """Ascending rank with ties given their mean rank, and the key's count of values.
+
+    Equal values are merged before anything is put in order, so `df` itself is never
+    sorted. A null value keeps its row and gets a null rank.
+    """
     keys = _names(keys)
-    rows = number_rows(df, [F.col(value), *_names(tiebreak)], "_pos", keys, total, keep_range=True)
-    # A tie may span ranges: first merge inside a range, then over its ranges.
-    runs = rows.groupBy(RANGE, *keys, value).agg(F.min("_pos").alias("_first"), F.count("*").alias("_cnt"))
-    tie = Window.partitionBy(*keys, value)
-    runs = runs.select(
-        RANGE, *keys, value,
-        (F.min("_first").over(tie) + (F.sum("_cnt").over(tie) - 1) / F.lit(2.0)).cast("double").alias(name),
-    )
-    return rows.join(runs, [RANGE, *keys, value]).drop(RANGE, AT, "_pos")
+    steps = value_steps(df.filter(F.col(value).isNotNull()), value, {"_upto": F.lit(1).cast("bigint")}, keys)
+    ranks = steps.select(*keys, value, (F.col("_upto") - (F.col("_upto_here") - 1) / F.lit(2.0)).cast("double").alias(name))
+    sizes = steps.groupBy(*keys).agg(F.max("_upto_total").alias(total))
+    out = join_alike(df, ranks, [*keys, value], "left")
+    return join_alike(out, sizes, keys, "left") if keys else out.join(F.broadcast(sizes), F.lit(True), "left")
 
 
-def percentile_ranks(df: DataFrame, value: str, tiebreak: Sequence[str] | str,
-                     keys: Sequence[str] = (), name: str = "percentile") -> DataFrame:
-    """100 * average rank / row count."""
-    ranked = average_ranks(df, value, tiebreak, keys, "_rank", "_n")
+def percentile_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "percentile") -> DataFrame:
+    """100 * average rank / count of values."""
+    ranked = average_ranks(df, value, keys, "_rank", "_n")
     return ranked.withColumn(name, F.lit(100.0) * F.col("_rank") / F.col("_n")).drop("_rank", "_n")
 
 
@@ -221,8 +227,7 @@ def shuffled_positions(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_md5", id_col)
     return (
-        hashed.withColumn("_nth", F.row_number().over(inside))
-        .join(starts, [*keys, "_bucket"])
+        join_alike(hashed.withColumn("_nth", F.row_number().over(inside)), starts, [*keys, "_bucket"])
         .withColumn(name, (F.col("_start") + F.col("_nth")).cast("bigint"))
         .drop("_md5", "_bucket", "_start", "_nth")
     )

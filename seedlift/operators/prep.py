@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +17,12 @@ from seedlift.functions.numbers import half_even, phred_capped, without_nan
 from seedlift.operators.features import fill_with_median
 from seedlift.operators.order import shuffled_positions
 
+# Ship these functions with the plan, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ("entity_id", "label")
-# Above this many columns pairwise terms go through one vector column.
-PAIRWISE_COLUMNS = 60
+# Columns of a tile when pairs of columns are taken.
+TILE = 512
 
 # Name parts and names of features where missing means none.
 ZERO_PARTS = ("GO_", "ProteinAtlas_", "GTEx_", "GWAS_")
@@ -126,28 +132,49 @@ def phred_columns(df: DataFrame, columns: Sequence[str], floor: float = 1e-8) ->
 
 # ---- redundant columns -------------------------------------------------------
 
+def _moments(left: int, right: int):
+    """Per task: for each pair of a left and a right column, count and sums over the rows that have both."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, left, right))
+        for batch in batches:
+            z = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = np.isfinite(z)
+            z, m = np.where(there, z, 0.0), there.astype(float)
+            x, y, a, b = z[:, :left], z[:, left:], m[:, :left], m[:, left:]
+            total += np.stack([a.T @ b, x.T @ b, a.T @ y, (x * x).T @ b, a.T @ (y * y), x.T @ y])
+        i, j = np.meshgrid(np.arange(left), np.arange(right), indexing="ij")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), *[pa.array(t.ravel()) for t in total]],
+            names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+    return run
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair i < j as rows `(i, j, r)`; r is null for a constant column.
+    """Pearson r of every pair i < j as rows `(i, j, r)`, over the rows that have both values.
 
-    One aggregate for narrow tables; wide ones go through a vector column, whose
-    Gram matrix is d x d however many rows there are.
+    r is null where a column is constant there. Values are centred and scaled first, by
+    one aggregate row; columns go in pairs of tiles, one scan each, whatever their number.
     """
     columns = list(columns)
-    if len(columns) <= PAIRWISE_COLUMNS:
-        sd = [F.stddev_pop(_c(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-        pairs = [(a, b) for a in range(len(columns)) for b in range(a + 1, len(columns))]
-        cov = [F.covar_pop(_c(columns[a]), _c(columns[b])).alias(f"c{a}_{b}") for a, b in pairs]
-        row = df.agg(*sd, *cov)
-        items = [
-            F.struct(F.lit(columns[a]).alias("i"), F.lit(columns[b]).alias("j"),
-                     F.try_divide(F.col(f"c{a}_{b}"), F.col(f"s{a}") * F.col(f"s{b}")).alias("r"))
-            for a, b in pairs]
-        return row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(*[_c(c) for c in columns]))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [(columns[a], columns[b], None if matrix[a, b] != matrix[a, b] else float(matrix[a, b]))
-            for a in range(len(columns)) for b in range(a + 1, len(columns))]
-    return df.sparkSession.createDataFrame(rows, "i string, j string, r double")
+    row = df.agg(*[F.avg(without_nan(_c(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_pop(without_nan(_c(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    scaled = [((_c(c).cast("double") - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(columns)]
+    names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
+    parts = []
+    for low in range(0, len(columns), TILE):
+        for other in range(low, len(columns), TILE):
+            one, two = scaled[low:low + TILE], scaled[other:other + TILE]
+            parts.append(df.select(*one, *[z.alias(f"w{k}") for k, z in enumerate(two)]).mapInArrow(
+                _moments(len(one), len(two)), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+                .select((F.col("a") + low).alias("a"), (F.col("b") + other).alias("b"), "n", "x", "y", "xx", "yy", "xy"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "i string, j string, r double")
+    sums = reduce(DataFrame.unionByName, parts).filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    dx, dy = F.col("xx") - F.col("x") * F.try_divide("x", "n"), F.col("yy") - F.col("y") * F.try_divide("y", "n")
+    r = (F.col("xy") - F.col("x") * F.try_divide("y", "n")) / F.sqrt(dx * dy)
+    return sums.select(F.element_at(names, F.col("a") + 1).alias("i"), F.element_at(names, F.col("b") + 1).alias("j"),
+                       F.when((dx > 1e-12) & (dy > 1e-12), r).alias("r"))
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], above: float, inclusive: bool = False) -> list[str]:
@@ -196,14 +223,16 @@ def standardise(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.select(*[scaled(c) if c in place else _c(c) for c in df.columns])
 
 
-def one_hot(df: DataFrame, columns: Sequence[str] | None = None, most: int = 10_000) -> DataFrame:
-    """0/1 columns `<column>_<value>` after the rest; raises beyond `most` values in a column."""
+def one_hot(df: DataFrame, columns: Sequence[str] | None = None,
+            values_of: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """0/1 columns `<column>_<value>` after the rest, for the given values or all that occur.
+
+    A column of very many values belongs in long form (`features.category_flags`).
+    """
     columns = list(columns or text_columns(df))
     coded = []
     for c in columns:
-        values = [r[0] for r in df.select(_c(c)).distinct().limit(most + 1).collect()]
-        if len(values) > most:
-            raise ValueError(f"{c} has more than {most} values")
+        values = (values_of or {}).get(c) or [r[0] for r in df.select(_c(c)).distinct().collect()]
         coded += [F.when(_c(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for v in sorted(v for v in values if v is not None)]
     return df.select(*[_c(x) for x in df.columns if x not in columns], *coded)
 

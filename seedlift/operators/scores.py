@@ -68,7 +68,7 @@ def rankings(means: DataFrame, decimals: int | None = None) -> DataFrame:
     """Adds `percentile` within each classifier (ties share their mean rank)."""
     if decimals is not None:
         means = means.withColumn("mean_score", F.round("mean_score", decimals))
-    return percentile_ranks(means, "mean_score", "entity_id", ["clf"])
+    return percentile_ranks(means, "mean_score", ["clf"])
 
 
 def ranked_predictions(scores: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -80,6 +80,13 @@ def ranked_predictions(scores: DataFrame, decimals: int | None = None) -> DataFr
     return rankings(both, decimals)
 
 
+def rankings_by_kind(means: DataFrame) -> DataFrame:
+    """`position` (highest mean first, ties by entity, null scores last) among all, known and unlabelled entities, as rows `kind`."""
+    kinds = F.explode(F.array(F.lit("all"), F.when(F.col("label") == 1, "known").otherwise("unlabelled"))).alias("kind")
+    rows = means.select("clf", kinds, "entity_id", "mean_score", "label")
+    return number_rows(rows, [F.desc_nulls_last("mean_score"), F.col("entity_id")], "position", ["clf", "kind"])
+
+
 # ---- quality of scores ---------------------------------------------------------
 
 def roc_steps(scores: DataFrame, keys: Sequence[str] = FOLD_KEYS, score: str = "proba") -> DataFrame:
@@ -94,10 +101,10 @@ def auc(scores: DataFrame, keys: Sequence[str] = FOLD_KEYS, score: str = "proba"
     """Rank-based AUC per key; ties count half. Null with a class missing."""
     steps = roc_steps(scores, keys, score)
     # A positive beats every negative ranked below it and half of those tied with it.
-    won = F.col("tp_here") * (F.col("fp_total") - F.col("fp") + F.col("fp_here") / F.lit(2.0))
-    pairs = F.max("tp_total") * F.max("fp_total")
+    won = F.col("tp_here").cast("double") * (F.col("fp_total") - F.col("fp") + F.col("fp_here") / F.lit(2.0))
+    pairs = F.max("tp_total").cast("double") * F.max("fp_total")
     return steps.groupBy(*keys).agg(
-        F.try_divide(F.sum(won), pairs.cast("double")).alias("auc"),
+        F.try_divide(F.sum(won), pairs).alias("auc"),
         F.max("tp_total").alias("n_positive"), F.max("fp_total").alias("n_negative"))
 
 

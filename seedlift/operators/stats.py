@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.functions.tails import normal_tail, pearson_p
+from seedlift.functions.tails import normal_log10, pearson_p
 from seedlift.operators.order import value_steps
 
 
@@ -35,7 +35,8 @@ def mann_whitney(values: DataFrame, lists: Sequence[str], by: str = "list", valu
     sd = F.sqrt(product / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     far = F.greatest(F.col("u"), product - F.col("u"))
     z = F.try_divide(far - 0.5 - product / 2, sd)
-    return sums.withColumn("z", z).withColumn("p", normal_tail("z")).drop("ties")
+    log10_p = normal_log10("z")
+    return sums.withColumn("z", z).withColumn("log10_p", log10_p).withColumn("p", F.pow(F.lit(10.0), "log10_p")).drop("ties")
 
 
 def share_above(curves: DataFrame, keys: Sequence[str], value: str, threshold: float) -> DataFrame:

@@ -23,6 +23,7 @@ STOPWORDS = (
 def term_filter(df: DataFrame, column: str, include: Sequence[str], exclude: Sequence[str] = (),
                 regex: bool = False) -> DataFrame:
     """Rows matching an include term and no exclude term, ignoring case."""
+    exclude = [t for t in exclude if t]
     if exclude:
         df = df.filter(~matches_any(column, exclude, regex))
     return df.filter(matches_any(column, include, regex))
@@ -31,6 +32,7 @@ def term_filter(df: DataFrame, column: str, include: Sequence[str], exclude: Seq
 def term_columns(columns: Sequence[str], include: Sequence[str], exclude: Sequence[str] = (),
                  regex: bool = False) -> list[str]:
     """Column names matching an include term and no exclude term, in table order."""
+    exclude = [t for t in exclude if t]
     wanted, unwanted = re.compile(term_pattern(include, regex)), re.compile(term_pattern(exclude, regex))
     return [c for c in columns if wanted.search(c) and not (exclude and unwanted.search(c))]
 

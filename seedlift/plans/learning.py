@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seedlift.operators import bagging
 from seedlift.operators import scores as S
-from seedlift.operators.order import number_rows
+from seedlift.operators.order import number_rows, percentile_ranks
 from seedlift.plans import base as B
 from seedlift.plans.registry import query, table
 from seedlift.runtime import pin
@@ -48,6 +48,31 @@ def pu_ranking(spark, sf):
                          "positive_votes", "negative_votes")
 
 
+@query("rankings_by_kind", f"""WITH {B.SCORES}, {B.RANKED}, k AS (
+  SELECT 'all' AS kind, * FROM ranked UNION ALL SELECT CASE WHEN label = 1 THEN 'known' ELSE 'unlabelled' END, * FROM ranked)
+SELECT kind, entity_id, label, mean_score, row_number() OVER (PARTITION BY kind ORDER BY mean_score DESC NULLS LAST, entity_id) AS position
+FROM k""")
+def rankings_by_kind(spark, sf):
+    """All, known and unlabelled entities, each in an order of its own."""
+    ranked = S.ranked_predictions(B.scores(spark, sf), B.DECIMALS)
+    return S.rankings_by_kind(ranked).select("kind", "entity_id", "label", "mean_score", "position")
+
+
+_LOOSE = """loose AS (SELECT CAST(c_custkey AS VARCHAR) AS entity_id, nullif(c_mktsegment, 'MACHINERY') AS seg,
+  CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 50) END AS v FROM customer)"""
+
+
+@query("rank_with_nulls", f"""WITH {_LOOSE}
+SELECT entity_id, seg, v, CASE WHEN v IS NOT NULL THEN round(100.0::DOUBLE * (rank() OVER (PARTITION BY seg, v IS NULL ORDER BY v)
+  + (count(*) OVER (PARTITION BY seg, v) - 1) / 2.0::DOUBLE) / count(v) OVER (PARTITION BY seg), 6) END AS percentile FROM loose""")
+def rank_with_nulls(spark, sf):
+    """Percentiles within groups of which one has no name; rows without a value keep a null rank."""
+    loose = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("entity_id"), F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("seg"),
+        F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 50).cast("double")).alias("v"))
+    return percentile_ranks(loose, "v", ["seg"]).withColumn("percentile", F.round("percentile", 6))
+
+
 @query("fold_auc", f"""WITH {B.SCORES}, r AS (
   SELECT *, rank() OVER (PARTITION BY {KEYS} ORDER BY proba) + (count(*) OVER (PARTITION BY {KEYS}, proba) - 1) / 2.0::DOUBLE AS rk
   FROM scores)
@@ -281,16 +306,16 @@ def _auc_sql(feature: str, value: str, t: str) -> str:
   + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rk FROM (SELECT {value} AS x, y FROM {t}))"""
 
 
-_EXACT = ["n_lines", "qty", "size", "retail"]
+_ROUNDED = [f"round({c}, 4)" for c in B.FEATURES]  # sums of doubles differ in their last digits
 
 
 @query("single_feature_auc", f"""WITH {B.FEATS}, f AS (SELECT *, label AS y FROM feats),
 d AS (SELECT n_chars, quality AS y FROM documents JOIN labels USING (doc_id)) """ + " UNION ALL ".join(
-    [_auc_sql(c, c, "f") for c in _EXACT] + [_auc_sql("n_chars", "n_chars", "d")]))
+    [_auc_sql(c, r, "f") for c, r in zip(B.FEATURES, _ROUNDED)] + [_auc_sql("n_chars", "n_chars", "d")]))
 def single_feature_auc(spark, sf):
     feats = B.features(spark, sf)
     long = feats.select("label", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in _EXACT])).alias("f")).select("label", "f.*")
+        F.struct(F.lit(c).alias("feature"), F.round(c, 4).alias("value")) for c in B.FEATURES])).alias("f")).select("label", "f.*")
     docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("value")).join(
         table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     both = long.unionByName(docs.select("label", F.lit("n_chars").alias("feature"), "value"))

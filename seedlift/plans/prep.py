@@ -89,6 +89,15 @@ def corr_matrix(spark, sf):
     return P.correlations(_wide(spark, sf), _CORR).withColumn("r", F.round("r", 6))
 
 
+@query("corr_with_nulls", f"WITH {_RARE}, wide AS (SELECT *, 2 * GWAS_deep + GnomAD_top AS mixed FROM rare) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS i, '{b}' AS j, round(corr({a}, {b}), 6) AS r FROM wide"
+    for a, b in [("GWAS_deep", "GnomAD_top"), ("GWAS_deep", "mixed"), ("GnomAD_top", "mixed")]))
+def corr_with_nulls(spark, sf):
+    """Each pair over the rows that have both values."""
+    wide = _rare(spark, sf).withColumn("mixed", 2 * F.col("GWAS_deep") + F.col("GnomAD_top"))
+    return P.correlations(wide, ["GWAS_deep", "GnomAD_top", "mixed"]).withColumn("r", F.round("r", 6))
+
+
 @query("drop_correlated", f"""WITH {_CORR_FEATS}, pairs AS ({_pair_sql("wide", _CORR)}),
 dup AS (SELECT DISTINCT j FROM pairs WHERE abs(r) >= 1 - 1e-6),
 high AS (SELECT DISTINCT j FROM pairs WHERE abs(r) > 0.85 AND i NOT IN (SELECT j FROM dup) AND j NOT IN (SELECT j FROM dup)),
@@ -128,6 +137,17 @@ def stratified_split(spark, sf):
     return P.stratified_split(B.entities(spark, sf), 0.2)
 
 
+@query("split_with_null_labels", f"""WITH {B.ENT}, e AS (SELECT entity_id, CASE WHEN entity_id LIKE '%7' THEN NULL ELSE label END AS label FROM ent),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('split:', entity_id)), entity_id) AS rn,
+  count(*) OVER (PARTITION BY label) AS n FROM e)
+SELECT entity_id, coalesce(CAST(label AS VARCHAR), 'none') AS label,
+  CASE WHEN rn <= floor(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM r""")
+def split_with_null_labels(spark, sf):
+    """Rows without a label are a class of their own."""
+    ent = B.entities(spark, sf).withColumn("label", F.when(~F.col("entity_id").endswith("7"), F.col("label")))
+    return P.stratified_split(ent, 0.2).withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("none")))
+
+
 @query("downsample", f"""WITH {B.ENT}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
   md5(concat('down:', entity_id)), entity_id) AS rn FROM ent)
 SELECT entity_id, label FROM r WHERE label = 1 OR rn <= (SELECT round_even(count(*) * 1.5, 0) FROM ent WHERE label = 1)""")

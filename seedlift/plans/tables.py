@@ -376,9 +376,8 @@ def set_membership_pivot(spark, sf):
 
 
 @query("all_set_flags", """
-WITH f AS (SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= 5))
-SELECT CAST(doc_id AS VARCHAR) AS entity_id, """ + ", ".join(
-    f"CASE WHEN lang = '{x}' THEN 1 ELSE 0 END AS lang_{x}" for x in ("de", "en", "es", "fr")) + " FROM f")
+SELECT DISTINCT CAST(doc_id AS VARCHAR) AS entity_id, 'lang_' || lang AS feature, 1 AS value
+FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5)""")
 def all_set_flags(spark, sf):
     sets = table(spark, sf, "documents").select(F.col("lang").alias("set_name"), _id("doc_id"))
     return X.all_set_flags(sets, 5, prefix="lang_")

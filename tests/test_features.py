@@ -137,13 +137,32 @@ def test_preparation(spark):
     narrow = {(r.i, r.j): r.r for r in P.correlations(df, ["a", "same", "near", "b"]).collect()}
     assert narrow[("a", "same")] == pytest.approx(1) and narrow[("a", "b")] == pytest.approx(np.corrcoef(pdf.a, pdf.b)[0, 1])
     assert {r.r for r in P.correlations(df, ["a", "flat"]).collect()} == {None}
-    old = P.PAIRWISE_COLUMNS
-    P.PAIRWISE_COLUMNS = 0
+    old, P.TILE = P.TILE, 2
     try:
         wide = {(r.i, r.j): r.r for r in P.correlations(df, ["a", "same", "near", "b"]).collect()}
     finally:
-        P.PAIRWISE_COLUMNS = old
-    assert all(wide[k] == pytest.approx(narrow[k]) for k in narrow)
+        P.TILE = old
+    assert set(wide) == set(narrow) and all(wide[k] == pytest.approx(narrow[k]) for k in narrow)
+
+
+def test_correlations_take_the_rows_that_have_both(spark):
+    pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, None, 6], "b": [2.0, None, 6, 8, 10, 12], "c": [None, 1.0, None, 1, 1, 7], "d": [None] * 6})
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)],
+                               "a double, b double, c double, d double")
+    got = {(r.i, r.j): r.r for r in P.correlations(df, list("abcd")).collect()}
+    want = pdf.astype(float).corr()
+    for (i, j), r in got.items():
+        assert (r is None) if np.isnan(want.loc[i, j]) else r == pytest.approx(want.loc[i, j]), (i, j)
+
+
+def test_attach_has_one_schema(spark):
+    from seedlift.operators.joins import attach
+
+    rows = spark.createDataFrame([(i, i % 3, "g") for i in range(30)] + [(99, None, "h")], "id int, k int, g string")
+    lookup = spark.createDataFrame([(0, "x"), (1, "y")], "k int, v string")
+    small, large = attach(rows, lookup, "k"), attach(rows, lookup, "k", small_values=1)
+    assert small.columns == large.columns == ["id", "k", "g", "v"]
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
 
 
 def test_missing_values(spark):

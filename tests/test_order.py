@@ -42,11 +42,11 @@ def test_hot_value_spans_ranges_and_ranks_alike(spark, skewed):
     df = spark.createDataFrame(skewed)
     laid = O.lay_out(df, ["v", "id"], 6)
     assert laid.filter("v = 7").select(O.RANGE).distinct().count() > 1
-    got = O.average_ranks(df, "v", "id", ["k"]).toPandas()
+    got = O.average_ranks(df, "v", ["k"]).toPandas()
     want = skewed.assign(r=skewed.groupby("k").v.rank())
     merged = got.merge(want, on="id")
     assert np.allclose(merged.rank_avg, merged.r)
-    pct = O.percentile_ranks(df, "v", "id").toPandas().merge(skewed.assign(r=100 * skewed.v.rank(pct=True)), on="id")
+    pct = O.percentile_ranks(df, "v").toPandas().merge(skewed.assign(r=100 * skewed.v.rank(pct=True)), on="id")
     assert np.allclose(pct.percentile, pct.r)
 
 

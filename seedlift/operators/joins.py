@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedlift.operators.order import join_alike
 from seedlift.runtime import at_most, pieces
 
 # A lookup up to this many values (rows x columns) may be copied to every executor.
@@ -19,8 +20,15 @@ def _list(on: str | Sequence[str]) -> list[str]:
 
 
 def merge_tables(tables: Sequence[DataFrame], on: str = "entity_id", fill: float | None = None) -> DataFrame:
-    """Full outer merge of tables with one row per key; optionally fill the gaps."""
-    merged = reduce(lambda a, b: a.join(b, on, "full"), tables)
+    """Full outer merge of tables with one row per key; optionally fill the gaps.
+
+    Every table is left-joined to the union of the keys, so the growing table keeps its
+    partitioning; null is a key like any other.
+    """
+    if len(tables) == 1:
+        return tables[0] if fill is None else tables[0].fillna(fill)
+    keys = reduce(DataFrame.unionByName, [t.select(on) for t in tables]).distinct()
+    merged = reduce(lambda a, b: join_alike(a, b, [on], "left"), tables, keys)
     return merged if fill is None else merged.fillna(fill)
 
 

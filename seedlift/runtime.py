@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,29 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="seedlift-")
 
 
+_scopes: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder name under the checkpoint folder; inside `scratch()` it goes when the scope ends."""
+    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is pinned inside once the block ends; write results elsewhere before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin(df: DataFrame, tag: str = "pin") -> DataFrame:
     """Write `df` once as Parquet under the checkpoint folder and read it back.
 
@@ -54,7 +79,7 @@ def pin(df: DataFrame, tag: str = "pin") -> DataFrame:
     the files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

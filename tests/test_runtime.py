@@ -27,3 +27,13 @@ def test_no_machine_local_folder_on_a_cluster():
     cluster = type("Session", (), {"conf": Unset(), "sparkContext": type("C", (), {"master": "yarn"})})
     with pytest.raises(RuntimeError):
         runtime.checkpoint_root(cluster)
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    with runtime.scratch(spark):
+        inside = runtime.pin(spark.range(5), "gone")
+        files = inside.inputFiles()
+        assert inside.count() == 5 and files
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert runtime.pin(spark.range(3), "stays").count() == 3

@@ -307,18 +307,13 @@ def both_ways(edges: DataFrame, left: str = "left", right: str = "right", keep:
     return one.unionByName(two)
 
 
-def neighbour_lists(edges: DataFrame, longest: int = 100_000) -> DataFrame:
-    """Neighbour lists `(entity_id, part, neighbours)`; a hub's list is cut into numbered parts.
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """Every entity's neighbours in order, as rows `(entity_id, pos, neighbour, n)`; a repeated edge is one row of count n.
 
-    Parts hold about `longest` neighbours at most, so no hub is gathered in one task.
+    Long form at any size: no hub is gathered into one row or task.
     """
-    pairs = edges.select("entity_id", "neighbour")
-    sizes = pairs.groupBy("entity_id").agg(F.count("*").alias("_n"))
-    hubs = sizes.filter(F.col("_n") > longest).withColumn("_parts", F.ceil(F.col("_n") * 2 / longest).cast("bigint"))
-    parted = attach(pairs, pin(hubs.select("entity_id", "_parts"), "hubs"), "entity_id")
-    part = F.coalesce(F.pmod(F.xxhash64("neighbour"), F.col("_parts")), F.lit(0).cast("bigint"))
-    return parted.withColumn("part", part).groupBy("entity_id", "part").agg(
-        F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
+    merged = edges.groupBy("entity_id", "neighbour").agg(F.count("*").alias("n"))
+    return number_rows(merged, ["neighbour"], "pos", ["entity_id"]).select("entity_id", "pos", "neighbour", "n")
 
 
 def seed_share(edges: DataFrame, seeds: DataFrame, name: str = "seed_share",
@@ -350,50 +345,48 @@ def neighbour_features(edges: DataFrame, seeds: DataFrame, sources: Sequence[str
 
 # ---- collapsing annotation rows ---------------------------------------------
 
-def distinct_joined(df: DataFrame, key: str, columns: Sequence[str], sep: str = "|",
-                    longest: int = 10_000) -> DataFrame:
-    """Sorted distinct values per key, joined, for several columns: `(key, part, columns...)`.
-
-    Values are made distinct and numbered over the whole table first; a key with more than
-    `longest` of them in a column goes on in the next `part`, so no task gathers more.
-    """
+def distinct_values(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Sorted distinct values per key and column, as rows `(key, field, pos, value, n)`."""
     long = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value")) for c in columns
-    ])).alias("s")).select(key, "s.*").filter(F.col("_value").isNotNull()).distinct()
-    placed = number_rows(long, ["_value"], "_pos", [key, "_column"])
-    part = F.floor((F.col("_pos") - 1) / longest).alias("part")
-    return placed.groupBy(key, part).agg(*[
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_column") == c, F.col("_value")))), sep).alias(c)
-        for c in columns])
+        F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns
+    ])).alias("s")).select(key, "s.*").filter(F.col("value").isNotNull())
+    merged = long.groupBy(key, "field", "value").agg(F.count("*").alias("n"))
+    return number_rows(merged, ["value"], "pos", [key, "field"]).select(key, "field", "pos", "value", "n")
 
 
-def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Sequence[str], sep: str = "|",
-                   longest: int = 10_000) -> DataFrame:
-    """Rows per key: distinct values joined, phrases and tags joined in order.
+def collapse_by_id(df: DataFrame, key: str, phrase: str, tag: str, distinct: Sequence[str]) -> DataFrame:
+    """Rows per key in long form, `(key, field, pos, value, tag, n)`.
 
-    Phrases are sorted with those starting with `{`, `[` or `?` last. A key with more than
-    `longest` different phrases (or values) comes as several rows, numbered by `part`.
+    Field `phrase` lists the phrases with their tags in order, those starting with `{`,
+    `[` or `?` last; the other fields list sorted distinct values. Equal rows are one
+    row of count n, so a key of any size stays spread over the table.
     """
     bottom = F.col(phrase).substr(1, 1).isin("{", "[", "?").cast("int")
-    rows = df.select(key, phrase, tag, bottom.alias("_bottom"))
-    # Equal rows are counted, not gathered one by one; the order needs distinct rows only.
-    merged = rows.groupBy(key, "_bottom", phrase, tag).agg(F.count("*").alias("_n"))
-    placed = number_rows(merged, [F.col("_bottom"), F.col(phrase), F.col(tag)], "_pos", [key])
-    placed = placed.withColumn("part", F.floor((F.col("_pos") - 1) / longest))
-    listed = placed.groupBy(key, "part").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", phrase, tag, "_n"))).alias("_l"))
+    merged = df.select(key, bottom.alias("_bottom"), phrase, tag).groupBy(key, "_bottom", phrase, tag).agg(F.count("*").alias("n"))
+    phrases = number_rows(merged, [F.col("_bottom"), F.col(phrase), F.col(tag)], "pos", [key]).select(
+        key, F.lit(phrase).alias("field"), "pos", F.col(phrase).alias("value"), F.col(tag).alias("tag"), "n")
+    if not distinct:
+        return phrases
+    return phrases.unionByName(distinct_values(df, key, distinct).withColumn("tag", F.lit(None).cast("string")))
+
 
-    def joined(field: str) -> Column:
-        repeated = F.transform("_l", lambda s: F.array_repeat(s[field], s["_n"].cast("int")))
-        return F.array_join(F.flatten(repeated), sep)
+def joined_texts(collapsed: DataFrame, key: str, phrase: str, tag: str, distinct: Sequence[str], sep: str = "|") -> DataFrame:
+    """One row per key from its long form, texts joined; for keys whose texts fit in a row each."""
+    def joined(field: str, part: str, again: bool) -> Column:
+        own = F.sort_array(F.collect_list(F.when(F.col("field") == field, F.struct("pos", "value", "tag", "n"))))
+        texts = F.transform(own, lambda s: F.array_repeat(s[part], s["n"].cast("int") if again else F.lit(1)))
+        return F.array_join(F.flatten(texts), sep)
 
-    texts = listed.select(key, "part", joined(phrase).alias(phrase), joined(tag).alias(tag))
-    return texts.join(distinct_joined(df, key, distinct, sep, longest), [key, "part"], "full")
+    found = collapsed.groupBy(key).agg(
+        joined(phrase, "value", True).alias(phrase), joined(phrase, "tag", True).alias(tag),
+        *[joined(c, "value", False).alias(c) for c in distinct],
+        *[F.count_if(F.col("field") == c).alias(f"_n_{c}") for c in distinct])
+    return found.select(key, phrase, tag, *[F.when(F.col(f"_n_{c}") > 0, F.col(c)).alias(c) for c in distinct])
 
 
 def annotated_map(df: DataFrame, key: str, phrases: str, distinct: Sequence[str], tags: Mapping[str, str],
                   sep: str = ";", marker: str = "(3)", required: Sequence[str] = ()) -> DataFrame:
-    """Explode phrase lists, keep marked phrases, tag them, and collapse the rows by key."""
+    """Explode phrase lists, keep marked phrases, tag them, and collapse the rows by key (long form)."""
     rows = explode_delimited(df, phrases, sep).filter(F.col(phrases).contains(marker))
     rows = rows.dropna(subset=list(required)) if required else rows
     return collapse_by_id(rows.withColumn("annotation", tag_text(phrases, tags)), key, phrases, "annotation", distinct)

@@ -453,11 +453,10 @@ def neighbour_overlap(spark, sf):
 
 
 @query("neighbour_lists", f"""WITH {_EDGES}
-SELECT entity_id, 0::BIGINT AS part, count(*) AS n, string_agg(neighbour, ',' ORDER BY neighbour) AS neighbours
-FROM both_ways GROUP BY 1""")
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY neighbour) AS pos, neighbour, count(*) AS n
+FROM both_ways GROUP BY entity_id, neighbour""")
 def neighbour_lists(spark, sf):
-    return X.neighbour_lists(_edges(spark, sf)).select(
-        "entity_id", "part", F.size("neighbours").cast("bigint").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+    return X.neighbour_lists(_edges(spark, sf))
 
 
 @query("id_list_lookup", """
@@ -496,10 +495,10 @@ WITH r AS (SELECT p_brand, p_type, p_size, CASE WHEN p_size < 5 THEN '{' WHEN p_
 a AS (SELECT *, CASE WHEN tags = '' THEN 'other' ELSE tags END AS tag, CASE WHEN phrase[1] IN ('{', '?') THEN 1 ELSE 0 END AS bottom
   FROM (SELECT *, concat_ws(';', CASE WHEN contains(phrase, 'old') THEN 'OLD' END, CASE WHEN contains(phrase, '{') THEN 'misc' END)
   AS tags FROM r))
-SELECT p_brand, 0::BIGINT AS part, string_agg(phrase, '|' ORDER BY bottom, phrase, tag) AS phrase,
-       string_agg(tag, '|' ORDER BY bottom, phrase, tag) AS tag,
-       (SELECT string_agg(t, '|' ORDER BY t) FROM (SELECT DISTINCT p_type AS t FROM part p WHERE p.p_brand = a.p_brand)) AS p_type
-FROM a GROUP BY p_brand""")
+SELECT p_brand, 'phrase' AS field, row_number() OVER (PARTITION BY p_brand ORDER BY bottom, phrase, tag) AS pos,
+       phrase AS value, tag, count(*) AS n FROM a GROUP BY p_brand, bottom, phrase, tag
+UNION ALL SELECT p_brand, 'p_type', row_number() OVER (PARTITION BY p_brand ORDER BY p_type), p_type, NULL, count(*)
+FROM part GROUP BY p_brand, p_type""")
 def collapse_by_id(spark, sf):
     start = F.when(F.col("p_size") < 5, "{").when(F.col("p_size") > 45, "?").otherwise("")
     rows = table(spark, sf, "part").withColumn("phrase", F.concat(start, F.col("p_name")))
@@ -512,13 +511,14 @@ WITH t AS (SELECT o_custkey, o_orderstatus, trim(unnest(string_split(concat(o_or
   AS phrases FROM orders),
 k AS (SELECT *, CASE WHEN contains(phrases, '{O') THEN 'open;misc' ELSE 'misc' END AS annotation FROM t
   WHERE contains(phrases, '(3)'))
-SELECT o_custkey, 0::BIGINT AS part, string_agg(phrases, '|' ORDER BY phrases, annotation) AS phrases,
+SELECT o_custkey, string_agg(phrases, '|' ORDER BY phrases, annotation) AS phrases,
        string_agg(annotation, '|' ORDER BY phrases, annotation) AS annotation,
        string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS o_orderstatus FROM k GROUP BY 1""")
 def annotated_map(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.concat(
         F.col("o_orderpriority"), F.lit("; {"), F.col("o_orderstatus"), F.lit(" (3)")).alias("phrases"))
-    return X.annotated_map(orders, "o_custkey", "phrases", ["o_orderstatus"], {"{O": "open", "{": "misc"})
+    rows = X.annotated_map(orders, "o_custkey", "phrases", ["o_orderstatus"], {"{O": "open", "{": "misc"})
+    return X.joined_texts(rows, "o_custkey", "phrases", "annotation", ["o_orderstatus"])
 
 
 @query("bottom_sorted", """

@@ -63,25 +63,28 @@ def test_neighbours(spark):
     seeds = spark.createDataFrame([("c",), ("d",)], "entity_id string")
     got = {r.entity_id: r.seed_share for r in X.seed_share(both, seeds).collect()}
     assert got == {"a": 0.5, "b": 0.0, "c": 0.0, "d": 0.0}
-    hub = spark.range(50).select(F.lit("h").alias("entity_id"), F.concat(F.lit("n"), "id").alias("neighbour"))
-    parts = X.neighbour_lists(hub, longest=10).collect()
-    assert len(parts) > 4 and sorted(x for p in parts for x in p.neighbours) == sorted(f"n{i}" for i in range(50))
+    got = [tuple(r) for r in X.neighbour_lists(both).orderBy("entity_id", "pos").collect()]
+    assert got[:3] == [("a", 1, "b", 1), ("a", 2, "c", 2), ("a", 3, "d", 1)]
+    hub = spark.range(5000).select(F.lit("h").alias("entity_id"), F.lit("n").alias("neighbour"))
+    assert [tuple(r) for r in X.neighbour_lists(hub).collect()] == [("h", 1, "n", 5000)]
 
 
-def test_collapse_in_parts(spark):
+def test_collapse_keeps_long_form(spark):
     rows = spark.createDataFrame([(1, "{z (3)", "misc", "q"), (1, "b (3)", "AD", "q"), (1, "b (3)", "AD", "r"), (1, "?a (3)", "other", "s"),
                                   (2, "x (3)", "AR", None)], "id int, phrase string, tag string, sym string")
-    got = {(r.id, r.part): r for r in X.collapse_by_id(rows, "id", "phrase", "tag", ["sym"]).collect()}
-    assert got[(1, 0)].phrase == "b (3)|b (3)|?a (3)|{z (3)" and got[(1, 0)].tag == "AD|AD|other|misc"
-    assert got[(1, 0)].sym == "q|r|s" and got[(2, 0)].sym is None
-    parts = X.collapse_by_id(rows, "id", "phrase", "tag", ["sym"], longest=2).filter("id = 1").orderBy("part").collect()
-    assert [p.phrase for p in parts] == ["b (3)|b (3)|?a (3)", "{z (3)"] and [p.sym for p in parts] == ["q|r", "s"]
+    long = X.collapse_by_id(rows, "id", "phrase", "tag", ["sym"])
+    first = [(r.value, r.tag, r.n) for r in long.filter("id = 1 AND field = 'phrase'").orderBy("pos").collect()]
+    assert first == [("b (3)", "AD", 2), ("?a (3)", "other", 1), ("{z (3)", "misc", 1)]
+    got = {r.id: r for r in X.joined_texts(long, "id", "phrase", "tag", ["sym"]).collect()}
+    assert got[1].phrase == "b (3)|b (3)|?a (3)|{z (3)" and got[1].tag == "AD|AD|other|misc"
+    assert got[1].sym == "q|r|s" and got[2].sym is None
 
 
 def test_annotated_map(spark):
     df = spark.createDataFrame([(7, "S1", "{Odd}, Autosomal dominant (3); mapped (2)"), (7, "S2", "Rare, Autosomal recessive, somatic (3)"),
                                 (8, None, "x (3)"), (9, "S9", None)], "mim int, sym string, ph string")
-    got = {r.mim: r for r in X.annotated_map(df, "mim", "ph", ["sym"], INHERITANCE_TAGS, required=["sym"]).collect()}
+    rows = X.annotated_map(df, "mim", "ph", ["sym"], INHERITANCE_TAGS, required=["sym"])
+    got = {r.mim: r for r in X.joined_texts(rows, "mim", "ph", "annotation", ["sym"]).collect()}
     assert sorted(got) == [7] and got[7].sym == "S1|S2" and got[7].annotation == "AR;som|AD;misc"
 
 

@@ -72,7 +72,34 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-@query("op7_sharding")
+@query("op7_sharding", """
+WITH RECURSIVE steps(i, k, v) AS (
+    SELECT range, 0, range FROM range(256)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+raw AS (
+    SELECT doc_id, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE
+        WHEN ord(c) <= 0 THEN []
+        WHEN ord(c) < 128 THEN [ord(c)]
+        WHEN ord(c) < 2048 THEN [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]
+        WHEN ord(c) < 65536 THEN [224 + (ord(c) >> 12), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)]
+        ELSE [240 + (ord(c) >> 18), 128 + ((ord(c) >> 12) & 63), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)] END)) AS b,
+        strlen(coalesce(text, '')) + 1 AS size
+    FROM documents),
+sized AS (
+    SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(b AS BIGINT[])),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+    FROM raw, crc),
+ordered AS (
+    SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto,
+           sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place
+    FROM sized),
+placed AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM ordered)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+""")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 8)
     return placed.select(

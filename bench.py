@@ -44,7 +44,8 @@ def main() -> None:
                     spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     runs = dict(QUERIES, pu_ranking_10=ten_iterations)
-    runs["term_seeds"](spark, sf_dir).count()  # start-up is not a query
+    for name in ("term_seeds", "pu_ranking"):  # start-up and first compilation are not a query
+        runs[name](spark, sf_dir).count()
     took = {}
     for name in HEADLINES:
         start = time.time()

@@ -24,10 +24,10 @@ from seedlift.runtime import pieces
 BLOCK_BYTES = 8 << 20
 
 
-def block_count(docs: DataFrame) -> int:
+def block_count(docs: DataFrame, size: int = BLOCK_BYTES) -> int:
     """Blocks for these rows: by estimated size, at least one for each shuffle partition."""
     estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(pieces(docs.sparkSession), min(estimate // BLOCK_BYTES, 1 << 20))
+    return max(pieces(docs.sparkSession), min(estimate // size, 1 << 22))
 
 
 def _compress(kept: list[str]):
@@ -84,21 +84,22 @@ Keyer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 LIST_SCHEMA = "block bigint, shard bigint, kind int, n bigint, keys binary, counts binary"
 
 
-def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, bounds) for runs of texts of about `most` bytes."""
+def text_runs(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of texts of about `most` bytes; a longer text is a run of its own."""
     low, total = 0, 0
-    for i, text in enumerate([*texts, None]):
-        if text is None or (total and total + len(text) > most):
-            if i > low:
-                yield low, *text_bytes(pa.array(texts[low:i], pa.large_binary()).cast(pa.large_string()))
+    for i, text in enumerate(texts):
+        if total and total + len(text) > most:
+            yield low, i
             low, total = i, 0
-        total += len(text or b"")
+        total += len(text)
+    if low < len(texts):
+        yield low, len(texts)
 
 
 def keyed(texts: list[bytes], keyer: Keyer) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, keys, bounds) for runs of texts, so that few positions are in memory at once."""
-    for low, raw, at in _chunks(texts):
-        yield low, *keyer(raw, at)
+    for low, high in text_runs(texts):
+        yield low, *keyer(*text_bytes(pa.array(texts[low:high], pa.large_binary()).cast(pa.large_string())))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

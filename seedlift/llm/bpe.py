@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seedlift.llm.blocks import block_count, packed, squeeze, swell, unpacked
+from seedlift.llm.blocks import block_count, packed, squeeze, swell, text_runs, unpacked
 from seedlift.llm.words import hashed_spans, text_bytes
 
+#: Bytes of input, as Spark estimates it, for each block.
+BLOCK_BYTES = 4 << 20
+
 # Fixed value: the word pattern of this kind of tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
@@ -49,18 +52,14 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def _simple(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Texts of ASCII and the Latin letters from U+00C0 to U+00FF, without special tokens."""
-    high = raw >= 128
+def _hard(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts hold more than ASCII and the Latin letters from U+00C0 to U+00FF, or may hold a special token."""
     lead = raw == 0xC3
-    after = np.zeros(len(raw), bool)
-    after[1:] = lead[:-1]
-    sign = np.zeros(len(raw), bool)  # multiplication and division signs
-    sign[1:] = lead[:-1] & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
-    bar = np.zeros(len(raw), bool)
-    bar[1:] = (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
-    odd = np.concatenate([[0], np.cumsum((high & ~lead & ~after) | sign | bar)])
-    return odd[at[1:]] == odd[at[:-1]]
+    odd = (raw >= 128) & ~lead
+    odd[1:] &= ~lead[:-1]
+    odd[1:] |= lead[:-1] & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # multiplication and division signs
+    odd[1:] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    return np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1)
 
 
 def _spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +91,11 @@ def _spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, stops[np.searchsorted(stops, begins, side="right")]
 
 
-def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words: (bytes, begins, ends, text order, words of each text in that order, hashes)."""
+def _run_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some texts: (bytes, begins, ends, text order, words of each text in that order, hashes)."""
     raw, at = text_bytes(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
-    plain = _simple(raw, at)
-    hard = np.flatnonzero(~plain)
-    rows = np.flatnonzero(plain)
+    hard = _hard(raw, at)
+    rows = np.setdiff1d(np.arange(len(texts)), hard)
     if len(hard):
         raw, at = text_bytes(pa.array([texts[i] for i in rows], pa.large_binary()).cast(pa.large_string()))
     raw = _UNDER[raw]
@@ -120,14 +118,19 @@ def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _lister(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        raw, begins, ends, _, _, hashes = _block_words(unpacked(table))
-        distinct, first = np.unique(hashes, return_index=True)
+        texts = unpacked(table)
+        hashes, words = [np.zeros(0, np.uint64)], []
+        for low, high in text_runs(texts):
+            raw, begins, ends, _, _, own = _run_words(texts[low:high])
+            distinct, first = np.unique(own, return_index=True)
+            data = raw.tobytes()
+            hashes.append(distinct)
+            words.extend([data[x:y] for x, y in zip(begins[first].tolist(), ends[first].tolist())])
+        distinct, first = np.unique(np.concatenate(hashes), return_index=True)
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-        data = raw.tobytes()
         rows = []
         for b in np.unique(bucket).tolist():
-            chosen = first[bucket == b]
-            blob = b"\n".join([data[x:y] for x, y in zip(begins[chosen].tolist(), ends[chosen].tolist())])
+            blob = b"\n".join([words[i] for i in first[bucket == b].tolist()])
             rows.append((b, len(blob), squeeze(blob)))
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()),
@@ -169,10 +172,15 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 def _joiner(content: Broadcast, buckets: int, with_ids: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, _, order, counts, hashes = _block_words(unpacked(texts))
-        distinct, code = np.unique(hashes, return_inverse=True)
+        whole, runs = unpacked(texts), []
+        for low, high in text_runs(whole):
+            _, _, _, order, counts, hashes = _run_words(whole[low:high])
+            own, inverse = np.unique(hashes, return_inverse=True)
+            runs.append((low + order, counts, own, inverse.astype(np.int32)))
+        del whole
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in runs]]))
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-        sizes, starts, parts, base = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
+        sizes, starts, parts, base = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [np.zeros(0, np.int32)], 0
         for b, size, blob in zip(*[answers.column(c).to_pylist() for c in ("bucket", "size", "ids")]):
             mine = np.flatnonzero(bucket == b)
             numbers = np.frombuffer(swell(blob, size), np.int32)
@@ -181,26 +189,28 @@ def _joiner(content: Broadcast, buckets: int, with_ids: bool):
             starts[mine] = base + np.concatenate([[0], np.cumsum(own)])[:-1]
             parts.append(got)
             base += len(got)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        names = content.value[1]
-        flat, cuts = ids.tolist(), list(zip(starts.tolist(), (starts + sizes).tolist()))
+        ids = np.concatenate(parts)
+        names, flat, cuts = content.value[1], ids.tolist(), list(zip(starts.tolist(), (starts + sizes).tolist()))
         numerals = [" ".join(map(str, flat[x:y])) for x, y in cuts]
         spelled = [" ".join([names[i] for i in flat[x:y]]) for x, y in cuts]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        total = np.concatenate([[0], np.cumsum(sizes[code])])
-        shas, texts_of = [], []
-        codes = code.tolist()
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            mine = codes[low:high]
-            shas.append(hashlib.sha256(" ".join(map(numerals.__getitem__, mine)).encode()).hexdigest())
-            texts_of.append(hashlib.sha256(" ".join(map(spelled.__getitem__, mine)).encode()).hexdigest())
-        columns = {"doc_id": texts.column("doc_id").take(pa.array(order)),
-                   "n_tokens": pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()),
-                   "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(texts_of, pa.string())}
-        if with_ids:
-            columns["ids"] = pa.ListArray.from_arrays(
-                pa.array(total[bounds], pa.int32()), pa.array(_gather(ids, starts[code], sizes[code])))
-        return pa.table(columns)
+        out = []
+        for order, counts, own, inverse in runs:
+            code = np.searchsorted(distinct, own)[inverse]
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            total = np.concatenate([[0], np.cumsum(sizes[code])])
+            codes, shas, texts_of = code.tolist(), [], []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                mine = codes[low:high]
+                shas.append(hashlib.sha256(" ".join(map(numerals.__getitem__, mine)).encode()).hexdigest())
+                texts_of.append(hashlib.sha256(" ".join(map(spelled.__getitem__, mine)).encode()).hexdigest())
+            columns = {"doc_id": texts.column("doc_id").take(pa.array(order)),
+                       "n_tokens": pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()),
+                       "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(texts_of, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(
+                    pa.array(total[bounds], pa.int32()), pa.array(_gather(ids, starts[code], sizes[code])))
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)
     return run
 
 
@@ -220,7 +230,7 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     Null and empty texts have no ids; repeated rows each give a row; nothing is added
     or cut off. The digests are of the decimal ids and of the decoded text.
     """
-    blocks = block_count(docs.select(text_col))
+    blocks = block_count(docs.select(text_col), BLOCK_BYTES)
     buckets = max(1, blocks // 2)
     kind = dict(docs.dtypes)[id_col]
     rows = packed(docs, blocks, id_col, text_col)

@@ -36,7 +36,7 @@ def test_words_as_the_library_splits_them(library):
     letters = "aAbstmdrveLl''' 09.!-éÉßÀ×Σİ\n\t<|漢́xªº²½€\x00\x1c\x85\xa0"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += ["<|endoftext|>a'S <|startoftext|>", "'re're''ve", "x'LLama 'tis", "", " ", "it's", "'", "''s"]
-    raw, begins, ends, order, counts, _ = bpe._block_words([t.encode() for t in texts])
+    raw, begins, ends, order, counts, _ = bpe._run_words([t.encode() for t in texts])
     words, at = [bytes(raw[b:e]).decode() for b, e in zip(begins, ends)], 0
     for i, n in zip(order.tolist(), counts.tolist()):
         got = [x for e in library.encode_batch(words[at:at + n], add_special_tokens=False) for x in e.ids] if n else []

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.llm.common import text_key, whole_text
+from seedlift.llm.common import bounded_batches, text_key, whole_text
 from seedlift.llm.words import in_slices, mix, text_bytes
 from seedlift.runtime import pieces
 
@@ -45,6 +45,7 @@ def packed(docs: DataFrame, blocks: int, id_col: str, text_col: str, **extra: Co
 
     So neither a frequent text nor a frequent id fills a block.
     """
+    bounded_batches(docs.sparkSession)
     block = F.pmod(F.xxhash64(F.col(id_col), text_key(text_col)), F.lit(blocks)).cast("bigint")
     rows = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"),
                        *[c.alias(name) for name, c in extra.items()], whole_text(text_col).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlift.runtime import at_most, pin
@@ -11,6 +11,16 @@ from seedlift.runtime import at_most, pin
 NARROW_ROWS = 300_000
 
 
+#: Bytes of an Arrow batch. Rows here are whole texts, so Spark's bound by rows alone would let batches grow.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in batches of at most `BATCH_BYTES` (a longer text is a batch of its own)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def whole_text(text: str | Column) -> Column:
     """The text, empty for null."""
     column = F.col(text) if isinstance(text, str) else text

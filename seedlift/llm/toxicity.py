@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedlift.llm.common import checked, text_key, unused, whole_text
+from seedlift.llm.common import bounded_batches, checked, text_key, unused, whole_text
 from seedlift.llm.words import FOLDED_VALUES, hashed_spans, in_slices, word_spans
 from seedlift.runtime import pin
 
@@ -105,6 +105,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, lexicon: int = LEXICON,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model, or None where either class has no rows."""
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most, id_col, text_col, label_col)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):

@@ -24,10 +24,17 @@ from seedlift.runtime import pieces
 BLOCK_BYTES = 8 << 20
 
 
-def block_count(docs: DataFrame, size: int = BLOCK_BYTES) -> int:
-    """Blocks for these rows: by estimated size, at least one for each shuffle partition."""
-    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(pieces(docs.sparkSession), min(estimate // size, 1 << 22))
+def block_count(docs: DataFrame, text_col: str, size: int = BLOCK_BYTES) -> int:
+    """Blocks for these texts, at least one for each shuffle partition.
+
+    The size is that of the tables they are read from: Spark's own estimate multiplies
+    the sides of a join. Where a source has no size, the texts are measured.
+    """
+    leaves = docs.select(text_col)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    if total >= 1 << 60:
+        total = docs.agg(F.sum(F.octet_length(whole_text(text_col)))).first()[0] or 0
+    return max(pieces(docs.sparkSession), total // size)
 
 
 def _compress(kept: list[str]):

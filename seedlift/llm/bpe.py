@@ -230,7 +230,7 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     Null and empty texts have no ids; repeated rows each give a row; nothing is added
     or cut off. The digests are of the decimal ids and of the decoded text.
     """
-    blocks = block_count(docs.select(text_col), BLOCK_BYTES)
+    blocks = block_count(docs, text_col, BLOCK_BYTES)
     buckets = max(1, blocks // 2)
     kind = dict(docs.dtypes)[id_col]
     rows = packed(docs, blocks, id_col, text_col)

@@ -248,7 +248,7 @@ def scores(docs: DataFrame, trains: Column, depth: int = DEPTH, id_col: str = "d
     alone; repeated rows count, and are scored, each; without training rows every bit has
     an even chance and no word is known. `depth` is from 2 to 7.
     """
-    blocks = block_count(docs.select(text_col))
+    blocks = block_count(docs, text_col)
     shards = max(1, blocks // 2)
     rows = packed(docs, blocks, id_col, text_col, trains=F.coalesce(trains, F.lit(False)))
     lists = pin(rows.groupBy("block").applyInArrow(

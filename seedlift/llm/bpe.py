@@ -27,6 +27,8 @@ from seedlift.llm.words import hashed_spans, text_bytes
 
 #: Bytes of input, as Spark estimates it, for each block.
 BLOCK_BYTES = 4 << 20
+#: Words that are handed to the library in one call.
+AT_ONCE = 2000
 
 # Fixed value: the word pattern of this kind of tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -142,19 +144,21 @@ def _lister(buckets: int):
 def _encoder(content: Broadcast):
     def run(table: pa.Table) -> pa.Table:
         found = content.value[0]
-        lists = [swell(w, size).decode().split("\n")
-                 for w, size in zip(table.column("words").to_pylist(), table.column("size").to_pylist())]
+        packs = list(zip(table.column("words").to_pylist(), table.column("size").to_pylist()))
         number: dict[str, int] = {}
-        for words in lists:
-            for w in words:
+        for blob, size in packs:
+            for w in swell(blob, size).decode().split("\n"):
                 number.setdefault(w, len(number))
-        encoded = [e.ids for e in found.encode_batch(list(number), add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded], np.int32)
-        ids = np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))
+        words, counts, parts = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for low in range(0, len(words), AT_ONCE):  # the library's results are far larger than the ids
+            encoded = [e.ids for e in found.encode_batch(words[low:low + AT_ONCE], add_special_tokens=False)]
+            counts.append(np.array([len(e) for e in encoded], np.int32))
+            parts.append(np.array([i for e in encoded for i in e], np.int32))
+        sizes, ids = np.concatenate(counts), np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         blobs, lengths = [], []
-        for words in lists:
-            row = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        for blob, size in packs:
+            row = np.array([number[w] for w in swell(blob, size).decode().split("\n")], np.int64)
             blob = sizes[row].tobytes() + _gather(ids, starts[:-1][row], sizes[row]).tobytes()
             lengths.append(len(blob))
             blobs.append(squeeze(blob))
@@ -231,7 +235,7 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     or cut off. The digests are of the decimal ids and of the decoded text.
     """
     blocks = block_count(docs, text_col, BLOCK_BYTES)
-    buckets = max(1, blocks // 2)
+    buckets = max(1, blocks // 4)
     kind = dict(docs.dtypes)[id_col]
     rows = packed(docs, blocks, id_col, text_col)
     lists = rows.groupBy("block").applyInArrow(

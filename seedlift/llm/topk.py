@@ -19,66 +19,61 @@ from pyspark.sql import functions as F
 from seedlift.runtime import pin
 
 LEVELS = 16
+#: Times that a scan asks whether it may stop.
+CHECKS = 8
 #: Rows of a block and queries of a batch, about.
-BLOCK_ROWS, BATCH_ROWS = 4096, 512
+BLOCK_ROWS, BATCH_ROWS = 8192, 512
 
 
 class Index:
-    """Rows of one block, by dimension and quantised value."""
+    """Rows of one block, by dimension and quantised value: `levels` segments of equally many rows in each dimension."""
 
     def __init__(self, rows: np.ndarray, levels: int = LEVELS):
         self.rows = rows
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        level = (rows - low) * levels // (high - low + 1)
-        self.order = np.argsort(level, axis=0, kind="stable").T.copy()
-        at = np.arange(levels + 1)
-        self.cuts, self.least, self.most = [], [], []
-        for d in range(rows.shape[1]):
-            cuts = np.searchsorted(level[self.order[d], d], at)
-            cuts = np.unique(cuts)
-            values = rows[self.order[d], d]
-            self.cuts.append(cuts)
-            self.least.append(np.minimum.reduceat(values, cuts[:-1]))
-            self.most.append(np.maximum.reduceat(values, cuts[:-1]))
-
-    def segments(self, query: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, int, np.ndarray]:
-        """Segments (dimension, from, to) by falling impact, their impacts, the floor of all scores' bounds, and the slack left after each."""
-        spans, impacts, falls, floor = [], [], [], 0
-        for d in np.flatnonzero(query).tolist():
-            best = query[d] * (self.most[d] if query[d] > 0 else self.least[d])
-            by = range(len(best) - 1, -1, -1) if query[d] > 0 else range(len(best))
-            floor += int(best.min())
-            gains = [int(best[s] - best.min()) for s in by]
-            for s, gain, after in zip(by, gains, [*gains[1:], 0]):
-                if gain > 0:
-                    spans.append((d, int(self.cuts[d][s]), int(self.cuts[d][s + 1])))
-                    impacts.append(gain)
-                    falls.append(gain - after)
-        impact = np.array(impacts, np.int64)
-        order = np.argsort(-impact, kind="stable")
-        fall = np.array(falls, np.int64)[order]
-        return [spans[i] for i in order.tolist()], impact[order], floor, int(fall.sum()) - np.cumsum(fall)
+        n = len(rows)
+        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
+        self.cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
+        values = np.take_along_axis(rows.T, self.order, axis=1)
+        self.least, self.most = values[:, self.cuts[:-1]], values[:, self.cuts[1:] - 1]
+
+    def segments(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+        """(dimension, level) of the segments by falling impact, their impacts, the sum of the dimensions'
+        lowest bounds, and how much an unread row can still gain after each segment."""
+        up = (query > 0)[:, None]
+        bound = query[:, None] * np.where(up, self.most, self.least)
+        # By falling impact inside a dimension: from the highest level down for a positive weight, else upwards.
+        bound = np.where(up, bound[:, ::-1], bound)
+        gain = bound - bound[:, -1:]
+        fall = gain.copy()
+        fall[:, :-1] -= gain[:, 1:]
+        order = np.argsort(-gain, axis=None, kind="stable")
+        order = order[:int((gain > 0).sum())]
+        dimension, step = np.divmod(order, gain.shape[1])
+        level = np.where(query[dimension] > 0, gain.shape[1] - 1 - step, step)
+        fall = fall.ravel()[order]
+        return dimension, level, gain.ravel()[order], int(bound[:, -1].sum()), int(fall.sum()) - np.cumsum(fall)
 
     def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and exact scores of the k best rows but `own`, ties to the smaller id."""
         n = len(self.rows)
-        spans, impact, floor, slack = self.segments(query)
+        dimension, level, impact, floor, slack = self.segments(query)
+        low, high = self.cuts[level].tolist(), self.cuts[level + 1].tolist()
+        dimension, impact = dimension.tolist(), impact.tolist()
         gained = np.zeros(n, np.int64)
         if 0 <= own < n:
             gained[own] = -(1 << 62)
-        few, step, done = max(4 * k, n // 64), max(1, len(spans) // 16), 0
+        few, step, done = max(4 * k, n // 64), max(1, -(-len(impact) // CHECKS)), 0
         possible = np.arange(n)
         while True:
-            for (d, low, high), gain in zip(spans[done:done + step], impact[done:done + step].tolist()):
-                gained[self.order[d, low:high]] += gain
-            done = min(done + step, len(spans))
+            for i in range(done, min(done + step, len(impact))):
+                gained[self.order[dimension[i], low[i]:high[i]]] += impact[i]
+            done = min(done + step, len(impact))
             rest = int(slack[done - 1]) if done else 0
-            if n > k:
+            if n > k + 1:
                 lead = np.argpartition(gained, n - k)[n - k:]
-                least = int((self.rows[lead[gained[lead] > -(1 << 61)]] @ query).min(initial=1 << 61))
-                if len(lead[gained[lead] > -(1 << 61)]) == k:
-                    possible = np.flatnonzero(gained + floor + rest >= least)
-            if len(possible) <= few or done == len(spans):
+                least = int((self.rows[lead] @ query).min())
+                possible = np.flatnonzero(gained + (floor + rest) >= least)
+            if len(possible) <= few or done == len(impact):
                 break
         possible = possible[possible != own]
         exact = self.rows[possible] @ query

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlift.llm import bpe, contamination, ctw, neardup, packing, passages, quality, sharding, topk, toxicity
+from seedlift.llm import (
+    bpe, centroids, contamination, ctw, language, neardup, packing, passages, quality, sharding, topk, toxicity, vector_codes)
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -157,3 +158,81 @@ FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_i
 """)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---- vectors ----------------------------------------------------------------------
+
+def _kept_sql(scale: int, only: str = "") -> str:
+    """CTE `kept`: vectors of whole numbers as doubles, whose sums and products are exact."""
+    return f"""kept AS (
+    SELECT *, row_number() OVER () AS r,
+           list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{only})"""
+
+
+def _rounds_sql(entries: int, rounds: int) -> str:
+    """CTEs `near_0`, `book_1`, ... `near_<rounds>` from `parts` (r, p, part) and `book_0` (p, e, part)."""
+    near = """near_{i} AS (
+    SELECT r, p, CAST(min((list_dot_product(a.part, a.part) - 2 * list_dot_product(a.part, b.part)
+        + list_dot_product(b.part, b.part)) * {n} + e) AS BIGINT) AS best
+    FROM parts a JOIN book_{i} b USING (p) GROUP BY r, p)"""
+    book = """means_{i} AS (
+    SELECT p, best % {n} AS e, i, floor(sum(x) / count(*)) AS x
+    FROM near_{i} JOIN places USING (r, p) GROUP BY p, best % {n}, i),
+book_{j} AS (
+    SELECT b.p, b.e, coalesce(m.part, b.part) AS part
+    FROM book_{i} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS part FROM means_{i} GROUP BY p, e) m USING (p, e))"""
+    steps = ["places AS (SELECT r, p, unnest(part) AS x, generate_subscripts(part, 1) AS i FROM parts)", near.format(i=0, n=entries)]
+    for i in range(rounds):
+        steps += [book.format(i=i, j=i + 1, n=entries), near.format(i=i + 1, n=entries)]
+    return ",\n".join(steps)
+
+
+_NUMBERS = "list_transform(part, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR))"
+
+
+@query("op11_vector_codes", f"""
+WITH {_kept_sql(256)},
+parts AS (
+    SELECT r, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS part
+    FROM kept, (SELECT unnest(range(16)) AS p)),
+book_0 AS (
+    SELECT p, e, part
+    FROM (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept) JOIN parts USING (r) WHERE e < 64),
+{_rounds_sql(64, 2)},
+coded AS (
+    SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+    FROM near_2 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string({_NUMBERS}, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book_2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+""")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One code of 16 parts for every vector of `embeddings`; see `vector_codes.compress`."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
+@query("op12_language")
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three in four of them; see `language.fit` and `language.identify`."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return language.identify(docs, language.fit(docs.filter(~held)), held_out=held)
+
+
+@query("op13_centroids", f"""
+WITH {_kept_sql(64, " AND len(embedding) = 64")},
+parts AS (SELECT r, 0 AS p, v AS part FROM kept),
+book_0 AS (
+    SELECT p, e, part
+    FROM (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS e FROM kept)
+    JOIN parts USING (r) WHERE e < 16),
+{_rounds_sql(16, 3)},
+found AS (SELECT r, best % 16 AS e, best // 16 AS distance FROM near_3)
+SELECT vec_id, CAST(e AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY e) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string({_NUMBERS}, ',')) AS centroid_sha256
+FROM kept JOIN found USING (r) JOIN book_3 USING (e)
+""")
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the vectors of `embeddings`; see `centroids.cluster`."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]

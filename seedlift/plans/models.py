@@ -1,8 +1,7 @@
-"""Queries that fit MLlib models: no SQL equivalent, except for the decisions on their results."""
+"""Queries that fit models: no SQL equivalent, except for the decisions on their results."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from seedlift.operators import embed, shadow
@@ -10,79 +9,97 @@ from seedlift.operators import learners as L
 from seedlift.operators.bagging import pu_membership
 from seedlift.operators.bayes import with_features
 from seedlift.operators.stats import importance_summary
+from seedlift.operators.trees import Forest
 from seedlift.plans import base as B
 from seedlift.plans.registry import query, table
 from seedlift.runtime import pin
 
-# One iteration, blocks of 1 : 3 and two folds keep these fits few; trees and rounds are cut
-# from the defaults of `learners` in the same spirit. All entities take part.
-RATIO, FOLDS = 3.0, 2
+# Learners, ratio and folds are the reference's; one of its ten iterations.
+FOLDS = 10
 
 
-def _rows(spark, sf, folds: int = FOLDS):
+def _rows(spark, sf, folds: int = FOLDS, iterations: int = 1):
     table_ = B.scaled(spark, sf)
-    members = pin(pu_membership(table_.select("entity_id", "label"), 1, RATIO, folds), "membership")
-    return with_features(members, table_, B.FEATURES)
+    members = pin(pu_membership(table_.select("entity_id", "label"), iterations, B.RATIO, folds), "membership")
+    return pin(with_features(members, table_, B.FEATURES), "rows")
 
 
-def _scores(spark, sf, name, make):
-    out, _ = L.fit_folds(_rows(spark, sf), B.FEATURES, {name: make})
+def _scores(spark, sf, name, iterations: int = 1):
+    out, _ = L.fit_folds(_rows(spark, sf, iterations=iterations), B.FEATURES, {name: L.LEARNERS[name]})
     return out.withColumn("proba", F.round("proba", 6))
 
 
 @query("rf_scores")
 def rf_scores(spark, sf):
-    return _scores(spark, sf, "RandomForestClassifier", L.random_forest(trees=100, depth=15))
+    return _scores(spark, sf, "RandomForestClassifier")
 
 
 @query("et_scores")
 def et_scores(spark, sf):
-    return _scores(spark, sf, "ExtraTreesClassifier", L.extra_trees(trees=100, depth=15))
+    return _scores(spark, sf, "ExtraTreesClassifier")
 
 
 @query("svc_scores")
 def svc_scores(spark, sf):
-    return _scores(spark, sf, "SVC", L.linear_svc())
+    return _scores(spark, sf, "SVC")
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf):
-    return _scores(spark, sf, "GradientBoostingClassifier", L.gradient_boosting(trees=10, depth=5))
+    return _scores(spark, sf, "GradientBoostingClassifier")
 
 
 @query("slow_boosting_scores")
 def slow_boosting_scores(spark, sf):
-    return _scores(spark, sf, "XGBoost", L.slow_boosting(trees=10))
+    return _scores(spark, sf, "XGBoost")
 
 
 @query("mlp_scores")
 def mlp_scores(spark, sf):
-    return _scores(spark, sf, "DNN", L.neural_net())
+    return _scores(spark, sf, "DNN")
+
+
+LEARNER_NAMES = sorted(L.LEARNERS)
+
+
+@query("learner_coverage", f"""WITH {B.ENT}, {B.members_sql(1, FOLDS)}
+SELECT clf, iter, block, fold, count(*) AS held, count(*) FILTER (label = 1) AS seeds, 1 AS fits, true AS in_range
+FROM members, (SELECT unnest({[n for n in LEARNER_NAMES if n != "GradientBoostingClassifier"]}) AS clf) GROUP BY ALL""")
+def learner_coverage(spark, sf):
+    """Every member is scored once by every learner, out of its own fold (the longest boosting apart, for time)."""
+    few = {n: L.LEARNERS[n] for n in LEARNER_NAMES if n != "GradientBoostingClassifier"}
+    out, _ = L.fit_folds(_rows(spark, sf), B.FEATURES, few)
+    return out.groupBy("clf", "iter", "block", "fold").agg(
+        F.count_distinct("entity_id").alias("held"), F.sum("label").alias("seeds"),
+        (F.count("*") / F.count_distinct("entity_id")).cast("int").alias("fits"),
+        F.bool_and((F.col("proba") >= 0) & (F.col("proba") <= 1)).alias("in_range"))
 
 
 @query("stacking")
 def stacking(spark, sf):
-    bases = {"RandomForest": L.random_forest(20, 5), "Logistic": L.logistic()}
-    out = L.stacking_scores(_rows(spark, sf, 3), B.FEATURES, bases, L.logistic(), add_original=True)
+    """The reference's four bases and final net. Every pair of folds is fitted, so folds are five."""
+    bases = {n: L.LEARNERS[n] for n in L.STACKING}
+    out = L.stacking_scores(_rows(spark, sf, 5), B.FEATURES, bases, L.LEARNERS[L.STACKING_FINAL], add_original=True)
     return out.withColumn("proba", F.round("proba", 6))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    _, importance = L.fit_folds(_rows(spark, sf), B.FEATURES, {"RandomForestClassifier": L.random_forest(20, 5)})
+    few = {n: L.LEARNERS[n] for n in ("RandomForestClassifier", "ExtraTreesClassifier", "XGBoost")}
+    _, importance = L.fit_folds(_rows(spark, sf), B.FEATURES, few)
     return importance_summary(importance)
 
 
 @query("grid_search")
 def grid_search(spark, sf):
-    forest = RandomForestClassifier(seed=1)
-    return L.grid_search(B.scaled(spark, sf), B.FEATURES, forest, {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=2)
+    """The reference's small grid for forests, ten folds."""
+    return L.grid_search(B.scaled(spark, sf), B.FEATURES, Forest(leaf=2, split=2), {"trees": [100, 200], "depth": [5]})
 
 
 @query("pairwise_search")
 def pairwise_search(spark, sf):
-    return L.pairwise_search(B.scaled(spark, sf), B.FEATURES, lambda: RandomForestClassifier(seed=1),
-                             [{"numTrees": [5, 10], "maxDepth": [3]}, {"maxDepth": [2, 4], "minInstancesPerNode": [2]}], folds=2)
+    pairs = [{"trees": [100, 200], "depth": [5, 10]}, {"leaf": [2, 5], "split": [2, 5]}]
+    return L.pairwise_search(B.scaled(spark, sf), B.FEATURES, Forest(leaf=2, split=2), pairs)
 
 
 @query("centred_embedding", """
@@ -122,8 +139,9 @@ def cluster_embedding(spark, sf):
 
 @query("shadow_features")
 def shadow_features(spark, sf):
-    found = shadow.shadow_importances(B.scaled(spark, sf), B.FEATURES, rounds=4, trees=10, depth=5)
-    return shadow.judge_rounds(found)
+    """Decisions on every feature over one run for each block of an iteration."""
+    rounds = shadow.shadow_rounds(_rows(spark, sf), B.FEATURES)
+    return shadow.final_decisions(shadow.run_decisions(rounds))
 
 
 @query("shadow_decision", """

@@ -195,14 +195,6 @@ def test_sets(spark):
     assert [r.n for r in U.set_sizes(sets).collect()] == [30, 30, 4]
 
 
-def test_shadows_are_permutations(spark):
-    df = spark.range(80).select(F.col("id").cast("string").alias("entity_id"), F.lit(0).alias("label"),
-                                F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
-    got = shadow.with_shadows(df, ["x", "y"], "s").toPandas()
-    assert sorted(got.shadow_x) == sorted(got.x) and sorted(got.shadow_y) == sorted(got.y)
-    assert (got.shadow_x != got.x).sum() > 60 and (got.shadow_y != 2 * got.shadow_x).sum() > 60
-
-
 def test_shadow_decisions(spark):
     rows = spark.createDataFrame([(r, "f", "Confirmed") for r in range(6)] + [(0, "g", "Tentative")], "run int, feature string, decision string")
     got = {r.feature: (r.confirmed, r.rejected, r.final) for r in shadow.final_decisions(rows, 10).collect()}

@@ -1,4 +1,4 @@
-"""MLlib learners over blocks: every held-out row scored once, signal found."""
+"""Learners over blocks: every held-out row scored once, signal found."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from seedlift.operators import scores as S
 from seedlift.operators.bagging import pu_membership
 from seedlift.operators.bayes import with_features
 from seedlift.operators.enrich import best_enrichment, ties_at_random
+from seedlift.operators.nets import Net
+from seedlift.operators.trees import Forest
 from seedlift.runtime import pin
 
 
@@ -36,18 +38,20 @@ def test_every_row_scored_once(spark, rows):
 
 
 def test_stacking(spark, rows):
-    bases = {"LR": L.logistic(), "RF": L.random_forest(5, 3)}
+    bases = {"LR": L.logistic(), "RF": Forest(trees=5, depth=3)}
     meta = L.stacked_features(rows, ["a", "b"], bases)
     # Each row is test once and training data for the other folds.
     assert meta.filter("is_test = 1").count() == rows.count() and meta.filter("is_test = 0").count() == 2 * rows.count()
     assert meta.filter("LR is null or RF is null").count() == 0
-    scores = L.stacking_scores(rows, ["a", "b"], bases, L.logistic())
-    assert scores.count() == rows.count()
-    assert S.auc(scores).agg(F.avg("auc")).first()[0] > 0.7
+    for final in (L.logistic(), Net(hidden=(8,), epochs=20)):
+        scores = L.stacking_scores(rows, ["a", "b"], bases, final, add_original=True)
+        keys = ["iter", "block", "fold", "entity_id"]
+        assert scores.count() == rows.count() and scores.select(*keys).exceptAll(rows.select(*keys)).count() == 0
+        assert S.auc(scores).agg(F.avg("auc")).first()[0] > 0.7
 
 
 def test_margin_classifier_probabilities(rows):
-    scores, importance = L.fit_folds(rows.filter("block = 0"), ["a", "b"], {"SVC": L.linear_svc(steps=20)})
+    scores, importance = L.fit_folds(rows.filter("block = 0"), ["a", "b"], {"SVC": L.LEARNERS["SVC"]})
     assert importance.count() == 0
     best = S.auc(rows.filter("block = 0").withColumn("clf", F.lit("raw")), score="a").agg(F.avg("auc")).first()[0]
     assert S.auc(scores).agg(F.avg("auc")).first()[0] > best - 0.1

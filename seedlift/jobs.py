@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from seedlift.operators import learners as L
 from seedlift.operators import scores as S
 from seedlift.operators.bagging import check_conserved, plan_blocks, pu_membership
 from seedlift.operators.bayes import score_rows, with_features
+from seedlift.operators.shadow import ShadowRounds, final_decisions, run_decisions, shadow_rounds
 from seedlift.operators.terms import source_profile
 from seedlift.runtime import pin
 
@@ -39,14 +39,21 @@ def profile_sources(sources: Mapping[str, Source]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ranking:
-    """Everything a ranking run leaves behind; all tables are long, with a `clf` column."""
+    """Everything a ranking run leaves behind; all tables but `decisions` are long, with a `clf` column.
+
+    `positions` numbers all, known and unlabelled entities by score; `decisions` are those on the features, if
+    any were selected, and `columns` the features that the fits used.
+    """
 
     scores: DataFrame
     importance: DataFrame | None
     aucs: DataFrame
     ranked: DataFrame
+    positions: DataFrame
     predicted: DataFrame
     consensus: DataFrame
+    decisions: DataFrame | None
+    columns: tuple[str, ...]
 
     def classifiers(self) -> list[str]:
         """Names, best mean AUC first."""
@@ -56,26 +63,39 @@ class Ranking:
 def rank_entities(
     table: DataFrame,
     columns: Sequence[str],
-    learners: Mapping[str, Callable[[int], Estimator]] | None = None,
+    learners: Mapping[str, L.Maker] | None = None,
     iterations: int = 10,
     ratio: float = 1.5,
     k: int = 10,
     threshold: float = 0.5,
     decimals: int | None = None,
+    select: ShadowRounds | None = None,
+    select_iterations: int = 1,
 ) -> Ranking:
-    """Score `(entity_id, label, columns...)` out of fold with MLlib `learners`, or the baseline without any."""
+    """Score `(entity_id, label, columns...)` out of fold with `learners`, or the baseline without any.
+
+    With `select`, the blocks of the first `select_iterations` iterations are runs of shadow selection, and only
+    the features that are confirmed in the end take part; if there are none, all do.
+    """
     entities = table.select("entity_id", "label")
     plan = plan_blocks(entities, ratio)
     members = check_conserved(pin(pu_membership(entities, iterations, ratio, k, plan=plan), "membership"), plan, iterations)
     rows = pin(with_features(members, table, columns), "rows")
+    decisions = None
+    if select is not None:
+        rounds = shadow_rounds(rows.filter(F.col("iter") <= select_iterations), columns, select)
+        decisions = pin(final_decisions(run_decisions(rounds)), "decisions")
+        confirmed = {r["feature"] for r in decisions.filter("final = 'Confirmed'").select("feature").collect()}  # a row a feature
+        columns = [c for c in columns if c in confirmed] or columns
     if learners:
         scores, importance = L.fit_folds(rows, columns, learners)
     else:
         scores, importance = pin(score_rows(rows, columns), "scores"), None
     n = len(learners) if learners else 1
     predicted = S.predicted_entities(S.votes(scores), threshold)
-    return Ranking(scores, importance, pin(S.auc(scores), "aucs"), pin(S.ranked_predictions(scores, decimals), "ranked"),
-                   predicted, S.consensus(predicted, n))
+    ranked = pin(S.ranked_predictions(scores, decimals), "ranked")
+    return Ranking(scores, importance, pin(S.auc(scores), "aucs"), ranked, S.rankings_by_kind(ranked), predicted,
+                   S.consensus(predicted, n), decisions, tuple(columns))
 
 
 @dataclass(frozen=True)

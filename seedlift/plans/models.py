@@ -63,7 +63,7 @@ LEARNER_NAMES = sorted(L.LEARNERS)
 
 
 @query("learner_coverage", f"""WITH {B.ENT}, {B.members_sql(1, FOLDS)}
-SELECT clf, iter, block, fold, count(*) AS held, count(*) FILTER (label = 1) AS seeds, 1 AS fits, true AS in_range
+SELECT clf, CAST(iter AS INT) AS iter, CAST(block AS INT) AS block, CAST(fold AS INT) AS fold, count(*) AS held, count(*) FILTER (label = 1) AS seeds, 1 AS fits, true AS in_range
 FROM members, (SELECT unnest({[n for n in LEARNER_NAMES if n != "GradientBoostingClassifier"]}) AS clf) GROUP BY ALL""")
 def learner_coverage(spark, sf):
     """Every member is scored once by every learner, out of its own fold (the longest boosting apart, for time)."""

@@ -11,6 +11,7 @@ from seedlift.operators.bagging import pu_membership
 from seedlift.operators.bayes import with_features
 from seedlift.operators.enrich import best_enrichment, ties_at_random
 from seedlift.operators.nets import Net
+from seedlift.operators.shadow import ShadowRounds
 from seedlift.operators.trees import Forest
 from seedlift.runtime import pin
 
@@ -76,6 +77,9 @@ def test_whole_ranking_and_comparison(spark):
     run = rank_entities(table, ["a", "b"], {"LR": L.logistic(), "RF": L.random_forest(5, 3)}, iterations=1, ratio=4.0, k=2)
     names = run.classifiers()
     assert sorted(names) == ["LR", "RF"] and run.ranked.count() == 600
+    kinds = {(r.clf, r.kind): r.n for r in run.positions.groupBy("clf", "kind").agg(F.max("position").alias("n")).collect()}
+    assert kinds == {(c, k): n for c in names for k, n in (("all", 300), ("known", 30), ("unlabelled", 270))}
+    assert run.decisions is None and run.columns == ("a", "b")
     # Entities 30..59 look like seeds without being marked: the external list names them first.
     external = spark.range(300).select(
         F.concat(F.lit("e"), F.col("id")).alias("entity_id"), (F.abs(F.col("id") - 45) / 300.0).alias("p"),
@@ -88,3 +92,15 @@ def test_whole_ranking_and_comparison(spark):
     assert kinds[0] > kinds.get(1, 0)
     novel = compare_with_external(run.ranked, listed, seeds, names, 0.2, remove_seeds=True)
     assert novel.table.filter("known = 1").count() == 0
+
+
+def test_ranking_on_confirmed_features(spark):
+    table = pin(spark.range(400).select(
+        F.concat(F.lit("e"), "id").alias("entity_id"), (F.col("id") < 80).cast("int").alias("label"),
+        (F.randn(1) + (F.col("id") < 80).cast("int") * 2).alias("a"), *[F.randn(i).alias(f"n{i}") for i in range(2, 7)]))
+    columns = ["a", "n2", "n3", "n4", "n5", "n6"]
+    select = ShadowRounds(Forest(trees=20, depth=6), rounds=30)
+    run = rank_entities(table, columns, {"RF": Forest(trees=10, depth=5)}, iterations=1, ratio=1.5, k=3, select=select)
+    assert "a" in run.columns and len(run.columns) < len(columns)
+    assert {r.feature for r in run.decisions.filter("final = 'Confirmed'").collect()} == set(run.columns)
+    assert {r.feature for r in run.importance.select("feature").distinct().collect()} == set(run.columns)

@@ -50,10 +50,3 @@ def attribute(column: str | Column, key: str) -> Column:
     col = F.col(column) if isinstance(column, str) else column
     value = F.regexp_extract(col, re.escape(key) + r' "([^"]*)"', 1)
     return F.when(value != "", value)
-
-
-def json_number(column: str | Column, key: str) -> Column:
-    """Number after `"key":` in a small JSON text, by pattern."""
-    col = F.col(column) if isinstance(column, str) else column
-    value = F.regexp_extract(col, f'"{re.escape(key)}": *(-?[0-9.]+)', 1)
-    return F.when(value != "", value).try_cast("double")

@@ -1,4 +1,4 @@
-"""The three whole jobs: profile the sources, rank the entities, compare with an external list."""
+"""The whole jobs: profile the sources, rank the entities, compare with an external list and with random seeds."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seedlift.operators import enrich as E
 from seedlift.operators import learners as L
 from seedlift.operators import scores as S
+from seedlift.operators import stats as ST
 from seedlift.operators.bagging import check_conserved, plan_blocks, pu_membership
 from seedlift.operators.bayes import score_rows, with_features
 from seedlift.operators.shadow import ShadowRounds, final_decisions, run_decisions, shadow_rounds
@@ -71,11 +72,14 @@ def rank_entities(
     decimals: int | None = None,
     select: ShadowRounds | None = None,
     select_iterations: int = 1,
+    round_scores: int | None = None,
+    keep: str | None = None,
 ) -> Ranking:
     """Score `(entity_id, label, columns...)` out of fold with `learners`, or the baseline without any.
 
     With `select`, the blocks of the first `select_iterations` iterations are runs of shadow selection, and only
-    the features that are confirmed in the end take part; if there are none, all do.
+    the features that are confirmed in the end take part; if there are none, all do. `round_scores` rounds single
+    scores, `decimals` mean ones. `keep` is a folder where fits are left for a run that is started again.
     """
     entities = table.select("entity_id", "label")
     plan = plan_blocks(entities, ratio)
@@ -88,9 +92,11 @@ def rank_entities(
         confirmed = {r["feature"] for r in decisions.filter("final = 'Confirmed'").select("feature").collect()}  # a row a feature
         columns = [c for c in columns if c in confirmed] or columns
     if learners:
-        scores, importance = L.fit_folds(rows, columns, learners)
+        scores, importance = L.fit_folds(rows, columns, learners, keep=keep)
     else:
         scores, importance = pin(score_rows(rows, columns), "scores"), None
+    if round_scores is not None:
+        scores = scores.withColumn("proba", F.round("proba", round_scores))
     n = len(learners) if learners else 1
     predicted = S.predicted_entities(S.votes(scores), threshold)
     ranked = pin(S.ranked_predictions(scores, decimals), "ranked")
@@ -120,3 +126,21 @@ def compare_with_external(ranked: DataFrame, external: DataFrame, seeds: DataFra
     consensus = [S.consensus_sweep(table.filter(F.col("known") == known), classifiers).withColumn("known", F.lit(known))
                  for known in (0, 1)]
     return Overlap(steps, table, reduce(DataFrame.unionByName, consensus))
+
+
+def compare_with_random(table: DataFrame, random: DataFrame, columns: Sequence[str], learners: Mapping[str, L.Maker] | None = None,
+                        score_decimals: int | None = None, **run) -> DataFrame:
+    """A negative control: Mann-Whitney test of the real seeds' percentiles in their run against those of random seeds in a
+    run of their own.
+
+    `random` is (entity_id, label) with as many seeds drawn at random; both runs take the same learners and
+    arguments. With several learners each run's best by mean AUC counts. Lists are `random` and `real`.
+    """
+    fake = table.drop("label").join(random.select("entity_id", "label"), "entity_id")
+    lists = []
+    for name, rows in (("random", fake), ("real", table)):
+        found = rank_entities(rows, columns, learners, round_scores=score_decimals, **run)
+        best = found.classifiers()[0] if learners else None
+        ranked = found.ranked if best is None else found.ranked.filter(F.col("clf") == best)
+        lists.append(ranked.filter("label = 1").select(F.lit(name).alias("list"), F.col("percentile").alias("value")))
+    return ST.mann_whitney(pin(lists[0].unionByName(lists[1]), "control"), ["random", "real"])

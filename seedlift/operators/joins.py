@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlift.operators.order import join_alike
-from seedlift.runtime import at_most, pieces
-
-# A lookup up to this many values (rows x columns) may be copied to every executor.
-SMALL_VALUES = 1_000_000
+from seedlift.runtime import SMALL_VALUES, at_most, pieces
 
 
 def _list(on: str | Sequence[str]) -> list[str]:
@@ -110,8 +107,14 @@ def lookup_list(df: DataFrame, row_id: str, ids: str, lookup: DataFrame, key: st
 
 
 def map_ids(df: DataFrame, mapping: DataFrame, supplement: DataFrame, on: str = "entity_id") -> tuple[DataFrame, DataFrame]:
-    """Map ids (one target each) with a manual supplement added; returns (mapped, unmapped keys)."""
-    whole = mapping.unionByName(supplement).dropDuplicates([on]).withColumn("_found", F.lit(1))
+    """Map ids (one target each) with a manual supplement added; returns (mapped, unmapped keys).
+
+    Where both name an id the supplement wins, and of several targets the least.
+    """
+    targets = [c for c in mapping.columns if c != on]
+    ordered = [mapping.withColumn("_later", F.lit(1)), supplement.withColumn("_later", F.lit(0))]
+    best = reduce(DataFrame.unionByName, ordered).groupBy(on).agg(F.min(F.struct("_later", *targets)).alias("_t"))
+    whole = best.select(on, *[F.col(f"_t.{c}").alias(c) for c in targets], F.lit(1).alias("_found"))
     mapped = attach(df, whole, on).filter("_found = 1").drop("_found")
     return mapped, df.select(on).distinct().join(whole.select(on), on, "left_anti")
 

@@ -9,6 +9,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,6 +239,21 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None,
     return df.select(*[_c(x) for x in df.columns if x not in columns], *coded)
 
 
+def coded_vectors(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = (), name: str = "features") -> DataFrame:
+    """`df` with a sparse vector column of the numeric columns and a 0/1 place for each value of the text columns.
+
+    A row has as many entries as it has columns, however many values there are; the learners of MLlib take the
+    column as it is (`learners.block_table`). A null value has no entry.
+    """
+    index, hot = [f"{name}_{i}_index" for i in range(len(columns))], [f"{name}_{i}_hot" for i in range(len(columns))]
+    given = df.withColumns({f"{name}_{i}_text": _c(c).cast("string") for i, c in enumerate(columns)})
+    texts = [f"{name}_{i}_text" for i in range(len(columns))]
+    stages = [StringIndexer(inputCols=texts, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
+              VectorAssembler(inputCols=[*numeric, *hot], outputCol=name)]
+    return Pipeline(stages=stages).fit(given).transform(given).drop(*texts, *index, *hot)
+
+
 # ---- sampling ----------------------------------------------------------------
 
 def stratified_split(df: DataFrame, test_size: float, salt: str = "split", label: str = "label") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,14 @@ SCALED = FEATS + ", scaled AS (SELECT entity_id, label, " + ", ".join(
 ) + " FROM feats)"
 
 
+_RUN_NAMES = ("ent sizes sizes2 iters others placed copies members rows per_fold rest wide models scores means ranked").split()
+
+
+def another_run(sql: str, suffix: str) -> str:
+    """The same CTEs under other names, for a second run in one statement."""
+    return re.sub(rf"\b({'|'.join(_RUN_NAMES)})\b", rf"\1{suffix}", sql)
+
+
 def members_sql(iterations: int = ITERATIONS, k: int = FOLDS, ratio: float = RATIO) -> str:
     """CTEs up to `members`; needs `ent`."""
     return f"""sizes AS (

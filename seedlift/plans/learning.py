@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seedlift.operators import bagging
 from seedlift.operators import scores as S
 from seedlift.operators.order import number_rows, percentile_ranks
+from seedlift.operators.single import class_members, one_feature_models
 from seedlift.plans import base as B
 from seedlift.plans.registry import query, table
 from seedlift.runtime import pin
@@ -191,6 +192,21 @@ def score_histogram(spark, sf):
     return S.histogram(means, "mean_score", 0.0, 1.0, 36)
 
 
+@query("score_density", f"""WITH {B.SCORES}, {B.RANKED},
+facts AS (SELECT *, low0 - 3 * h AS low, (high0 - low0 + 6 * h) / 400 AS step FROM (SELECT label, count(*) AS n, min(mean_score) AS low0,
+  max(mean_score) AS high0, stddev_samp(mean_score) * pow(count(*), -0.2) AS h FROM ranked GROUP BY 1) WHERE h > 0),
+dealt AS (SELECT label, h, low, step, n, floor((mean_score - low) / step) AS k, (mean_score - low) / step - floor((mean_score - low) / step) AS share
+  FROM ranked JOIN facts USING (label)),
+bins AS (SELECT label, bin, sum(w) AS w FROM (SELECT label, k AS bin, 1 - share AS w FROM dealt UNION ALL SELECT label, k + 1, share FROM dealt) GROUP BY ALL),
+grid AS (SELECT *, low + point * step * 4 AS x FROM facts, (SELECT CAST(unnest(range(0, 101)) AS INT) AS point))
+SELECT label, point, round(x, 6) AS x, round(sum(w * exp(-0.5 * pow((x - low - bin * step) / h, 2)) / (h * sqrt(2 * pi()) * n)), 6) AS density
+FROM bins JOIN grid USING (label) GROUP BY label, point, x""")
+def score_density(spark, sf):
+    """Smooth densities of the mean scores of seeds and others."""
+    means = S.mean_scores(B.scores(spark, sf)).withColumn("mean_score", F.round("mean_score", B.DECIMALS))
+    return S.density(means, "mean_score").select("label", "point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 _PREDICTED = """v AS (SELECT clf, entity_id, max(label) AS label, count(*) FILTER (proba >= 1 - proba) AS pos, count(*) AS n
   FROM scores GROUP BY ALL),
 predicted AS (SELECT *, CASE WHEN label = 1 THEN 'known' ELSE 'novel' END AS kind FROM v WHERE pos / n >= 0.6)"""
@@ -309,6 +325,49 @@ def _auc_sql(feature: str, value: str, t: str) -> str:
 _ROUNDED = [f"round({c}, 4)" for c in B.FEATURES]  # sums of doubles differ in their last digits
 
 
+_CLASSES, _STEPS = ["bolt", "gear", "widget"], 8
+
+
+def _class_models_sql() -> str:
+    """CTEs up to `judged`: Newton steps of one-feature models; needs `feats`."""
+    names = ", ".join(f"'{c}'" for c in _CLASSES)
+    long = " UNION ALL ".join(f"SELECT class, p.label, test, '{c}' AS feature, {c} AS x FROM parted p JOIN feats USING (entity_id)" for c in B.FEATURES)
+    steps = "".join(f""", s{i} AS (SELECT *, label - p AS g, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-greatest(least(a + b * z, 700), -700))) AS p
+    FROM (SELECT l.*, a, b, n, mean, sd, (x - mean) / sd AS z FROM long l JOIN m{i} USING (class, feature) WHERE NOT test))),
+h{i} AS (SELECT class, feature, n, mean, sd, a, b, sum(g) AS g0, sum(g * z) AS g1, sum(w) + 1e-9 AS h0, sum(w * z) AS h1,
+    sum(w * z * z) + 1e-9 AS h2 FROM s{i} GROUP BY ALL),
+m{i + 1} AS (SELECT class, feature, n, mean, sd, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a,
+    b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM h{i})""" for i in range(_STEPS))
+    return f"""named AS (SELECT c AS class, CAST(p_partkey AS VARCHAR) AS entity_id FROM part, (SELECT unnest([{names}]) AS c) WHERE contains(p_name, c)),
+negatives AS (SELECT CAST(p_partkey AS VARCHAR) AS entity_id FROM part
+  WHERE p_type = 'PROMO' AND NOT regexp_matches(p_name, '{"|".join(_CLASSES)}')),
+members AS (SELECT class, entity_id, 1 AS label FROM named UNION ALL SELECT c, entity_id, 0 FROM negatives, (SELECT DISTINCT class AS c FROM named)),
+parted AS (SELECT class, entity_id, label, rn <= floor(n * 0.2::DOUBLE) AS test FROM (SELECT *, row_number() OVER (PARTITION BY class, label
+  ORDER BY md5(concat('split:', entity_id)), entity_id) AS rn, count(*) OVER (PARTITION BY class, label) AS n FROM members)),
+long AS ({long}),
+m0 AS (SELECT class, feature, count(*) AS n, avg(x) AS mean, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd,
+  0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM long WHERE NOT test GROUP BY ALL){steps},
+ranked_test AS (SELECT class, feature, label, rank() OVER (PARTITION BY class, feature ORDER BY odds)
+  + (count(*) OVER (PARTITION BY class, feature, odds) - 1) / 2.0::DOUBLE AS rk
+  FROM (SELECT l.*, a + b * ((x - mean) / sd) AS odds FROM long l JOIN m{_STEPS} USING (class, feature) WHERE test)),
+judged AS (SELECT class, feature, count(*) AS n_test, (sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1)
+  * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0) AS auc
+  FROM ranked_test GROUP BY ALL)"""
+
+
+@query("class_feature_models", f"""WITH {B.FEATS}, {_class_models_sql()}
+SELECT class, feature, n AS n_train, round(a - b * mean / sd, 6) AS intercept, round(b / sd, 6) AS slope, n_test, round(auc, 6) AS auc
+FROM m{_STEPS} JOIN judged USING (class, feature)""")
+def class_feature_models(spark, sf):
+    """Each class of parts, by a word of their names, against promoted parts of no class, by each single feature."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), "p_name", "p_type")
+    classes = part.select("entity_id", "p_name", F.explode(F.array(*[F.lit(c) for c in _CLASSES])).alias("class")).filter(
+        F.col("p_name").contains(F.col("class")))
+    negatives = part.filter((F.col("p_type") == "PROMO") & ~F.col("p_name").rlike("|".join(_CLASSES)))
+    out = one_feature_models(class_members(classes, negatives), B.features(spark, sf), B.FEATURES, _STEPS)
+    return out.select("class", "feature", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("intercept", "slope", "auc")])
+
+
 @query("single_feature_auc", f"""WITH {B.FEATS}, f AS (SELECT *, label AS y FROM feats),
 d AS (SELECT n_chars, quality AS y FROM documents JOIN labels USING (doc_id)) """ + " UNION ALL ".join(
     [_auc_sql(c, r, "f") for c, r in zip(B.FEATURES, _ROUNDED)] + [_auc_sql("n_chars", "n_chars", "d")]))

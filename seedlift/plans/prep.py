@@ -201,9 +201,18 @@ def feature_corr_external(spark, sf):
     return ST.feature_correlations(joined, B.FEATURES, "p").select("feature", F.round("r", 6).alias("r"))
 
 
-@query("feature_corr_p")
+# Two-sided tail of r under no correlation: with t = sqrt(df) * tan(u) the tail is an integral of cos(u)^(df - 1), here by Simpson's rule.
+_CORR_TAIL = """tails AS (SELECT feature, r, n, list_sum(list_transform(range(0, 20001), lambda k:
+  CASE WHEN k = 0 OR k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+  * pow(cos(asin(abs(r)) + k * (pi() / 2 - asin(abs(r))) / 20000), n - 3))) * (pi() / 2 - asin(abs(r))) / 60000
+  * 2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt(pi()) AS p FROM rs)"""
+
+
+@query("feature_corr_p", f"WITH {B.FEATS}, {B.EXTERNAL}, j AS (SELECT f.*, coalesce(p, 0) AS p FROM feats f LEFT JOIN ext USING (entity_id)), rs AS ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, p) AS r, count(*) AS n FROM j" for c in B.FEATURES)
+       + f"), {_CORR_TAIL} SELECT feature, round(r, 6) AS r, round(p, 6) AS p FROM tails")
 def feature_corr_p(spark, sf):
-    """The same with the two-sided p, for which SQL has no function."""
+    """The same with the two-sided p."""
     joined = B.features(spark, sf).join(B.external(spark, sf), "entity_id", "left")
     return ST.feature_correlations(joined, B.FEATURES, "p").select("feature", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import flag
-from seedlift.functions.text import json_number, tag_text
+from seedlift.functions.text import attribute, tag_text
 from seedlift.jobs import Source, profile_sources
 from seedlift.operators import features as X
 from seedlift.operators import joins as J
@@ -134,7 +134,8 @@ WITH wide AS (
 long AS (SELECT 'act-collapsed_features' AS feature, unnest([count(*) - count(act_click), count(*) - count(act_error),
   count(*) - count(act_purchase), count(*) - count(act_signup), count(*) - count(act_view)]) AS n_null, 0 AS is_zero,
   0 AS chosen FROM wide
-  UNION ALL SELECT 'chosen', 2, 0, 1
+  UNION ALL SELECT 'act_' || event_type, 0, 0, 1 FROM (SELECT DISTINCT event_type FROM events)
+  WHERE regexp_matches('act_' || event_type, '(?i)(click|r)') AND NOT regexp_matches('act_' || event_type, '(?i)(user|purchase|error)')
   UNION ALL SELECT 'refund', count(*) - count(refund), CASE WHEN max(CASE WHEN refund <> 0 THEN 1 ELSE 0 END) = 0
   THEN 1 ELSE 0 END, 0 FROM wide)
 SELECT feature, max(n_null) AS n_null, max(is_zero) AS is_zero, max(chosen) AS chosen FROM long GROUP BY 1""")
@@ -150,8 +151,7 @@ def column_selection(spark, sf):
     profile = null_profile(wide, [c for c in wide.columns if c != "user_id"])
     profile = profile.withColumn("is_zero", flag(F.col("feature").isin(*zero, ""))).withColumn("chosen", F.lit(0))
     collapsed = X.collapse_prefixes(profile, "feature", ["n_null", "is_zero", "chosen"], ["act_"])
-    picked = wide.limit(1).select(F.lit("chosen").alias("feature"), F.lit(len(chosen) + 1).cast("bigint").alias("n_null"),
-                                  F.lit(0).alias("is_zero"), F.lit(1).alias("chosen"))
+    picked = spark.createDataFrame([(c, 0, 0, 1) for c in chosen], collapsed.select("feature", "n_null", "is_zero", "chosen").schema)
     return collapsed.unionByName(picked)
 
 
@@ -246,9 +246,12 @@ def explode_delimited(spark, sf):
 
 
 @query("key_value_extract", """
-SELECT event_id, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9.]+)', 1), '') AS DOUBLE) AS k FROM events""")
+SELECT event_id, event_type AS kind, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9.]+)', 1), '') AS BIGINT) AS k FROM events""")
 def key_value_extract(spark, sf):
-    return table(spark, sf, "events").select("event_id", json_number("props", "k").alias("k"))
+    """Attributes out of a column of `key "value"` pairs, as annotation files have them; a key that is absent is null."""
+    props = F.regexp_replace(F.translate("props", "{}", ""), r'"(\w+)": *([^,]+)', '$1 "$2";')
+    pairs = F.concat(F.lit('type "'), F.col("event_type"), F.lit('"; '), props)
+    return table(spark, sf, "events").select("event_id", attribute(pairs, "type").alias("kind"), attribute(pairs, "k").cast("bigint").alias("k"))
 
 
 _HITS = """uni AS (SELECT CAST(p_partkey AS VARCHAR) AS entity_id FROM part),

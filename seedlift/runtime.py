@@ -100,6 +100,10 @@ def pieces(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# A table up to this many values (rows x columns) may be copied to every executor.
+SMALL_VALUES = 1_000_000
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether `df` holds no more than `rows` rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows

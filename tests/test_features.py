@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seedlift.functions.text import INHERITANCE_TAGS, clean_column_name, tag_text, term_pattern
 from seedlift.operators import features as X
 from seedlift.operators import joins as J
+from seedlift.operators import learners as L
 from seedlift.operators import prep as P
 from seedlift.operators import sets as U
 from seedlift.operators import shadow
@@ -215,3 +216,30 @@ def test_medians_are_exact(spark):
     assert few == {"a": None}
     two = X.medians(spark.createDataFrame([("x", 1.0), ("y", 4.0)], "entity_id string, a double"), ["a"])
     assert two == {"a": 2.5}
+
+
+def test_vectors_of_very_many_values(spark):
+    """50,000 values make vectors of 50,001 places and two entries, which MLlib's learners take as they are."""
+    df = spark.range(100_000).select(
+        F.col("id").cast("string").alias("entity_id"), (F.col("id") % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 1000 > 0, F.concat(F.lit("v"), F.col("id") % 50_000)).alias("kind"), (F.col("id") % 7).cast("double").alias("x"))
+    out = P.coded_vectors(df, ["kind"], ["x"], "coded")
+    assert out.columns == [*df.columns, "coded"]
+    places = df.select("kind").dropna().distinct().count() + 1
+    for r in out.limit(50).collect():
+        assert r["coded"].size == places
+        assert r["coded"].numNonzeros() == (r["x"] > 0) + (r["kind"] is not None)
+    same = out.filter("kind = 'v17'").select("coded").distinct().count()
+    assert same == out.filter("kind = 'v17'").select("x").distinct().count()
+    blocks = out.withColumns({"iter": F.lit(1), "block": F.lit(0), "fold": (F.col("entity_id").cast("int") % 2)}).limit(4000)
+    scores, _ = L.fit_folds(blocks, ["coded"], {"LR": L.logistic()})
+    assert scores.count() == 4000
+
+
+def test_supplement_wins_and_ties_are_settled(spark):
+    mapping = spark.createDataFrame([("a", "z"), ("a", "y"), ("b", "m")], "entity_id string, target string")
+    extra = spark.createDataFrame([("b", "s"), ("c", "q")], "entity_id string, target string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "entity_id string")
+    mapped, missing = J.map_ids(rows, mapping, extra)
+    assert {(r.entity_id, r.target) for r in mapped.collect()} == {("a", "y"), ("b", "s"), ("c", "q")}
+    assert [r.entity_id for r in missing.collect()] == ["d"]

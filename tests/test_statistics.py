@@ -15,6 +15,7 @@ from seedlift.functions import tails
 from seedlift.functions.numbers import phred, phred_capped
 from seedlift.operators import enrich as E
 from seedlift.operators import scores as S
+from seedlift.operators import single
 from seedlift.operators import stats as ST
 
 
@@ -151,3 +152,47 @@ def test_phred(spark):
     got = rows.select(phred("p").alias("a"), phred_capped("p").alias("b")).collect()
     assert [r.a for r in got][1:4] == [0.0, pytest.approx(73.0103), 120.0] and got[0].a is None and got[4].a is None
     assert [r.b for r in got] == [80.0, 0.0, pytest.approx(73.0103), 80.0, 0.0]
+
+
+def test_one_feature_models_reach_the_optimum(spark):
+    rng = np.random.default_rng(3)
+    n = 900
+    kind = rng.integers(0, 3, n)  # two named classes and the negative set
+    x = rng.normal(size=(n, 3)) + np.outer(kind, [1.0, 0.0, -0.5])
+    x[:, 2] *= 1e4
+    rows = [(f"e{i}", *map(float, x[i]), None if i % 50 == 0 else 1.0) for i in range(n)]
+    table = spark.createDataFrame(rows, "entity_id string, a double, b double, c double, flat double")
+    classes = spark.createDataFrame([(f"k{k}", f"e{i}") for i, k in enumerate(kind) if k] + [("k1", "gone"), ("k1", "e0")], "class string, entity_id string")
+    negatives = spark.createDataFrame([(f"e{i}",) for i, k in enumerate(kind) if not k] * 2, "entity_id string")
+    members = single.class_members(classes, negatives)
+    assert members.groupBy("class", "entity_id").count().filter("count > 1").count() == 0
+    got = {(r["class"], r["feature"]): r for r in single.one_feature_models(members, table, ["a", "b", "c", "flat"]).collect()}
+    assert len(got) == 8
+    parted = {(r["class"], r["entity_id"]): (r["label"], r["test"]) for r in single.shuffled_positions(
+        members, "entity_id", "split", ["class", "label"], [], "_rn", "_n").selectExpr("class", "entity_id", "label", "_rn <= floor(_n * 0.2D) AS test").collect()}
+    for (name, feature), r in got.items():
+        own = [(i, *parted[name, f"e{i}"]) for i in range(n) if (name, f"e{i}") in parted]
+        if feature == "flat":
+            assert r["slope"] == 0 and r["auc"] == 0.5 and r["n_train"] + r["n_test"] == sum(i % 50 > 0 for i, _, _ in own)
+            continue
+        v = np.array([x[i, "abc".index(feature)] for i, _, _ in own])
+        y, test = np.array([lab for _, lab, _ in own]), np.array([t for _, _, t in own])
+        p = 1 / (1 + np.exp(-(r["intercept"] + r["slope"] * v[~test])))
+        assert abs((y[~test] - p).sum()) < 1e-6 and abs(((y[~test] - p) * v[~test]).sum()) < 1e-6 * np.abs(v).max()
+        s = r["slope"] * v[test]
+        wins = (s[y[test] == 1][:, None] > s[y[test] == 0]).mean() + 0.5 * (s[y[test] == 1][:, None] == s[y[test] == 0]).mean()
+        assert r["auc"] == pytest.approx(wins) and r["n_test"] == test.sum()
+
+
+def test_density_against_the_sum_of_kernels(spark):
+    rng = np.random.default_rng(5)
+    values = {None: rng.normal(size=300), "a": rng.exponential(size=500), "one": np.ones(4)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None)]
+    got = S.density(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).toPandas()
+    assert set(got.k.where(got.k.notna(), "none")) == {"none", "a"} and len(got) == 2 * 101
+    for name, own in got.groupby(got.k.where(got.k.notna(), "none")):
+        v = values[None if name == "none" else name]
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-0.5 * ((own.x.to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (h * np.sqrt(2 * np.pi) * len(v))
+        assert np.abs(own.density - want).max() < 2e-3 * want.max()
+        assert own.x.min() == pytest.approx(v.min() - 3 * h) and own.x.max() == pytest.approx(v.max() + 3 * h)

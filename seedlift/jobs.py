@@ -1,8 +1,8 @@
-"""The whole jobs: profile the sources, rank the entities, compare with an external list and with random seeds."""
+"""The whole jobs: profile the sources, compile the feature table, rank the entities, compare with an external list and with random seeds."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from seedlift.operators import enrich as E
 from seedlift.operators import learners as L
+from seedlift.operators import prep as P
 from seedlift.operators import scores as S
 from seedlift.operators import stats as ST
 from seedlift.operators.bagging import check_conserved, plan_blocks, pu_membership
 from seedlift.operators.bayes import score_rows, with_features
+from seedlift.operators.features import assemble
+from seedlift.operators.joins import keep_listed
 from seedlift.operators.shadow import ShadowRounds, final_decisions, run_decisions, shadow_rounds
-from seedlift.operators.terms import source_profile
+from seedlift.operators.terms import random_seeds, seeds_from_terms, source_profile
 from seedlift.runtime import pin
 
 
@@ -38,6 +41,55 @@ def profile_sources(sources: Mapping[str, Source]) -> DataFrame:
         for name, s in sources.items()])
 
 
+@dataclass(frozen=True)
+class Context:
+    """What a part of the feature table is built for."""
+
+    universe: DataFrame
+    seeds: DataFrame
+    include: Sequence[str]
+    exclude: Sequence[str]
+
+
+@dataclass(frozen=True)
+class FeatureTable:
+    """What the way from sources to features leaves behind."""
+
+    seeds: DataFrame
+    profile: DataFrame  # missing values of every column before they are filled
+    complete: DataFrame  # every entity, its label, all features, nothing missing
+    unfiltered: DataFrame  # scaled and coded
+    filtered: DataFrame  # without highly correlated features
+
+
+def compile_features(universe: DataFrame, associations: Source, entity: str, parts: Mapping[str, Callable[[Context], DataFrame]],
+                     more_terms: Sequence[str] = (), random: bool = False, sparse: float = 0.99, correlation: float = 0.85,
+                     unknown: str = "median") -> FeatureTable:
+    """From raw sources to the feature table that `rank_entities` takes.
+
+    The terms of `associations` choose the seeds among its `entity` values. Each of `parts` makes a table with one
+    row for each entity out of its own source (see `operators.features`); it is given the same terms and
+    `more_terms`. Parts without rows are left out. All are joined to the universe, whose key must be unique, as
+    must theirs; with `random`, as many random entities as there are seeds take their place. Columns with more than
+    a share `sparse` of missing values go; missing flags and counts become 0, other missing values the median of
+    their column (see `prep.fill_zero`, `prep.fill_unknown`); any other gap raises. The end is `prep.prepare`.
+    """
+    seeds, _ = seeds_from_terms(associations.table, entity, associations.column, associations.include, associations.exclude,
+                                associations.regex)
+    seeds = pin(keep_listed(seeds, universe), "seeds")
+    if not seeds.limit(1).count():
+        raise ValueError(f"no seeds for {list(associations.include)}")
+    context = Context(universe, seeds, [*associations.include, *more_terms], list(associations.exclude))
+    tables = [pin(make(context), name) for name, make in parts.items()]
+    table = assemble(universe, seeds, [t for t in tables if t.limit(1).count()])
+    if random:
+        table = pin(random_seeds(table), "features")
+    profile = P.null_profile(table)
+    complete = pin(P.fill_unknown(P.fill_zero(P.drop_sparse(table, sparse)), mode=unknown), "complete")
+    unfiltered, filtered = P.prepare(P.require_complete(complete), correlation)
+    return FeatureTable(seeds, profile, complete, unfiltered, filtered)
+
+
 @dataclass(frozen=True)
 class Ranking:
     """Everything a ranking run leaves behind; all tables but `decisions` are long, with a `clf` column.

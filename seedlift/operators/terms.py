@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seedlift.functions.text import matches_any, term_pattern
 from seedlift.operators.order import shuffled_positions
 
-# Common English words left out of term counts.
+# Common English words left out of term counts; an own choice.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his",
     "if", "in", "into", "is", "it", "its", "no", "nor", "not", "of", "off", "on", "or", "our", "she", "so", "than",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seedlift.functions.numbers import flag
 from seedlift.functions.text import attribute, tag_text
-from seedlift.jobs import Source, profile_sources
+from seedlift.jobs import Source, compile_features, profile_sources
 from seedlift.operators import features as X
 from seedlift.operators import joins as J
 from seedlift.operators import terms as T
@@ -560,3 +560,43 @@ def hidden_seeds(spark, sf):
 SELECT entity_id, CASE WHEN rn <= (SELECT count(*) FROM ent WHERE label = 1) THEN 1 ELSE 0 END AS label FROM r""")
 def random_seeds(spark, sf):
     return T.random_seeds(B.entities(spark, sf))
+
+
+def _median_sql(name: str) -> str:
+    return f"coalesce({name}, (SELECT median({name}) FROM joined))"
+
+
+@query("feature_job", f"""WITH {B.ENT}, {_HITS.format(cut=0.005)},
+totals AS (SELECT e.entity_id, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS back,
+  coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0) AS kept FROM ent e LEFT JOIN lineitem ON CAST(l_partkey AS VARCHAR) = e.entity_id GROUP BY 1),
+expr AS (SELECT entity_id, back, kept, CASE WHEN back < floor((SELECT median(back) FROM totals)) THEN count(*) OVER () ELSE
+  row_number() OVER (ORDER BY back DESC, entity_id) END AS back_rank, CASE WHEN kept < floor((SELECT median(kept) FROM totals)) THEN count(*) OVER ()
+  ELSE row_number() OVER (ORDER BY kept DESC, entity_id) END AS kept_rank FROM totals),
+knocked AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS entity_id, 1 AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
+joined AS (SELECT e.entity_id, e.label, p_type, back, kept, back_rank, kept_rank, hits, max_P, min_P, max_E, min_E, k,
+  CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS price FROM ent e JOIN part ON CAST(p_partkey AS VARCHAR) = e.entity_id
+  JOIN expr USING (entity_id) LEFT JOIN hits USING (entity_id) LEFT JOIN knocked USING (entity_id))
+SELECT entity_id, label, round(back, 4) AS GTEx_back_TPM_expression, back_rank AS GTEx_back_Expression_Rank,
+  round(kept, 4) AS GTEx_kept_TPM_expression, kept_rank AS GTEx_kept_Expression_Rank, coalesce(hits, 0) AS GWAS_hits,
+  {", ".join(f"{_median_sql(c)} AS GWAS_{c}" for c in ("max_P", "min_P", "max_E", "min_E"))},
+  CASE WHEN hits > 0 THEN 1 ELSE 0 END AS GWAS_flag, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS GO_promo,
+  CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END AS GO_small, coalesce(k, 0) AS MGI_mouse_knockout_feature,
+  round({_median_sql("price")}, 4) AS GnomAD_price FROM joined""")
+def feature_job(spark, sf):
+    """The whole way from raw tables to a complete feature table: seeds by terms, five sources, gaps filled."""
+    part = table(spark, sf, "part").withColumn("entity_id", F.col("p_partkey").cast("string"))
+    line = table(spark, sf, "lineitem").withColumn("entity", F.col("l_partkey").cast("string"))
+    matrix = line.select("entity", F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("came back"),
+                         F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("was kept"))
+    parts = {
+        "expression": lambda c: X.expression_features(matrix, "entity", c.universe, ["back", "kept"]),
+        "hits": lambda c: X.association_hits(line, "entity", "l_discount", "l_quantity", c.universe, threshold=0.005),
+        "sets": lambda c: X.set_flags(part.select(F.col("p_type").alias("set_name"), "entity_id"), ["promo", "small"]),
+        "knockouts": lambda c: X.phenotype_flag(line.filter("l_quantity > 45"), "l_partkey", "l_returnflag", ["r"], name="MGI_mouse_knockout_feature"),
+        "scores": lambda c: part.select("entity_id", F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).alias("GnomAD_price")),
+        "sparse": lambda c: part.select("entity_id", F.when(F.col("p_size") == 51, 1.0).alias("never")),
+        "nothing": lambda c: part.filter("p_size < 0").select("entity_id", F.col("p_size").alias("GO_none")),
+    }
+    out = compile_features(part.select("entity_id"), Source(part, "p_name", B.INCLUDE, B.EXCLUDE), "entity_id", parts).complete
+    return out.select(*[F.round(c, 4).alias(c) if c in ("GTEx_back_TPM_expression", "GTEx_kept_TPM_expression", "GnomAD_price") else c
+                        for c in out.columns])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seedlift.jobs import compare_with_external, rank_entities
+from seedlift.jobs import Source, compare_with_external, compare_with_random, compile_features, rank_entities
 from seedlift.operators import embed
 from seedlift.operators import learners as L
 from seedlift.operators import scores as S
@@ -104,3 +104,36 @@ def test_ranking_on_confirmed_features(spark):
     assert "a" in run.columns and len(run.columns) < len(columns)
     assert {r.feature for r in run.decisions.filter("final = 'Confirmed'").collect()} == set(run.columns)
     assert {r.feature for r in run.importance.select("feature").distinct().collect()} == set(run.columns)
+
+
+def test_from_sources_to_a_ranking(spark):
+    named = pin(spark.range(200).select(
+        F.concat(F.lit("e"), "id").alias("entity_id"), F.when(F.col("id") < 40, "kidney stone").when(F.col("id") < 45, "no kidney").otherwise("x").alias("phrase"),
+        (F.randn(1) + (F.col("id") < 40).cast("int") * 2).alias("v")))
+    universe = named.select("entity_id")
+    parts = {
+        "score": lambda c: named.select("entity_id", F.when(F.col("v") > -1.5, F.col("v")).alias("GnomAD_v")),
+        "noise": lambda c: named.select("entity_id", F.randn(7).alias("u"), F.lit(0).alias("GO_never")),
+        "seeds": lambda c: c.seeds.select("entity_id", F.lit(len(c.include)).alias("GWAS_terms")).limit(20),
+        "empty": lambda c: named.limit(0).select("entity_id", F.lit(1).alias("GO_gone")),
+    }
+    terms = Source(named, "phrase", ["kidney"], ["no"])
+    made = compile_features(universe, terms, "entity_id", parts, more_terms=["renal"])
+    assert made.seeds.count() == 40 and made.complete.count() == 200 and made.complete.filter("label = 1").count() == 40
+    assert made.complete.columns == ["entity_id", "label", "GnomAD_v", "u", "GO_never", "GWAS_terms"]
+    assert made.complete.filter("GnomAD_v IS NULL OR GWAS_terms IS NULL").count() == 0 and made.complete.agg(F.max("GWAS_terms")).first()[0] == 2
+    assert {r.feature: r.n_null for r in made.profile.collect()}["GWAS_terms"] == 180
+    assert "GO_never" not in made.filtered.columns and made.filtered.count() == 200
+    control = compile_features(universe, terms, "entity_id", parts, random=True)
+    assert control.complete.filter("label = 1").count() == 40
+    assert control.complete.filter("label = 1").join(made.seeds, "entity_id", "left_semi").count() < 40
+    columns = [c for c in made.filtered.columns if c not in ("entity_id", "label")]
+    run = rank_entities(made.filtered, columns, iterations=1, k=3)
+    assert run.ranked.count() == 200
+    test = compare_with_random(made.filtered, control.complete.select("entity_id", "label"), columns, iterations=1, k=3).first()
+    assert test["n1"] == test["n2"] == 40 and test["p"] < 0.01
+    with pytest.raises(ValueError, match="no seeds"):
+        compile_features(universe, Source(named, "phrase", ["liver"]), "entity_id", parts)
+    twice = {"twice": lambda c: named.select("entity_id", F.lit(1).alias("GO_a")).union(named.limit(1).select("entity_id", F.lit(2)))}
+    with pytest.raises(ValueError, match="duplicate"):
+        compile_features(universe, terms, "entity_id", twice)

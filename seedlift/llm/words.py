@@ -2,12 +2,15 @@
 
 A word is a run of ASCII letters and digits and of bytes above 0x7F, with A-Z in
 lower case. Its hash is a polynomial of random byte values modulo 2**64, taken as a
-difference of running sums, so no Python object is made per word.
+difference of running sums, so no Python object is made per word. Such polynomials
+are equal for certain pairs of long words, whatever the byte values; long words get a
+cryptographic hash instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text in a batch, and bytes that one pass of hashing works on.
 SLICE, STRETCH = 4 << 20, 1 << 18
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -44,6 +49,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def hashed_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = None) -> np.ndarray:
     """Hashes of the non-empty byte spans `raw[begins[i]:ends[i]]`, in order and without overlap."""
     values = BYTE_VALUES if values is None else values
+    folded = values is FOLDED_VALUES
     hashes = np.empty(len(begins), np.uint64)
     up, down = _powers(min(STRETCH, len(raw)))
     low = 0
@@ -58,6 +64,9 @@ def hashed_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, values:
         b, e = begins[low:high] - base, ends[low:high] - base
         hashes[low:high] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
         low = high
+    for i in np.flatnonzero(ends - begins > LONG).tolist():
+        span = raw[begins[i]:ends[i]].tobytes()
+        hashes[i] = int.from_bytes(blake2b(span.lower() if folded else span, digest_size=8).digest(), "little")
     return hashes
 
 

@@ -38,3 +38,11 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)
+
+
+def unlike_words(letters=10):
+    """Two words of 2**letters `a` and `b` whose polynomials modulo 2**64 are equal."""
+    one, two = "a", "b"
+    for _ in range(letters):
+        one, two = one + two, two + one
+    return one, two

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from seedlift.llm import bpe
+from tests.llm.conftest import unlike_words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,3 +64,10 @@ def test_round_trip(spark, tokenizer, library):
 
 def test_empty_table(empty, tokenizer):
     assert bpe.encode(empty, tokenizer).count() == 0
+
+
+def test_long_words_are_told_apart(spark, tokenizer, library):
+    texts = [f"{before}{word}" for before in ("", "Some text, then ") for word in unlike_words()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(docs, tokenizer).collect()}
+    assert got == {i: expected(library, t) for i, t in enumerate(texts)}

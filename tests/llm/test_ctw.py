@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedlift.llm import ctw
+from tests.llm.conftest import unlike_words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -90,3 +91,10 @@ def test_odd_rows_and_empty_tables(odd, empty):
     assert ctw.scores(empty, F.lit(True)).count() == 0
     blank = ctw.scores(odd.filter("doc_id = 9"), F.lit(False)).first()
     assert math.isclose(blank["score"], 5 * 8 * math.log10(0.5)) and blank["n_known"] == 0
+
+
+def test_long_words_are_told_apart(spark):
+    one, two = unlike_words()
+    docs = spark.createDataFrame([(1, one, True), (2, two, False), (3, one.upper(), False)], "doc_id bigint, text string, train boolean")
+    known = {r["doc_id"]: r["n_known"] for r in ctw.scores(docs, F.col("train")).collect()}
+    assert known == {1: 2, 2: 1, 3: 2}

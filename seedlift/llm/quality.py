@@ -25,24 +25,26 @@ from seedlift.llm.ctw import byte_strings
 from seedlift.runtime import pieces, pin
 
 ORDER = 5
-#: Trusted rows from which the model's are taken, lowest hash first; thresholds are taken over all others.
-TRUSTED = 40_000
 #: Documents above this quantile of the trusted ones that the model has not seen are rejected.
 QUANTILE = 0.98
 #: Rows that the quantile of all languages counts for next to a language's own.
 PRIOR = 200
 
 
-def trusted_rows(labels: DataFrame, most: int = TRUSTED, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def trusted_rows(labels: DataFrame, most: int | None = None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Pinned (_id, _seen) of all rows labelled 1 and never 0; null ids and labels are left out.
 
-    `_seen` marks those for the model: three in four of the `most` lowest hashes.
+    `_seen` marks those for the model: three in four by hash of all, or with `most` of that many lowest hashes.
     """
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_q")).filter("_q = 1")
-    good = pin(good.select("_id", F.xxhash64("_id").alias("_h")), "good")
+    good = good.select("_id", F.xxhash64("_id").alias("_h"))
+    taught = F.pmod("_h", F.lit(4)) != 0
+    if most is None:
+        return pin(good.select("_id", taught.alias("_seen")), "trusted")
+    good = pin(good, "good")
     first = good.orderBy("_h", "_id").limit(most).agg(F.max(F.struct("_h", "_id")).alias("_last"))
     within = F.struct("_h", "_id") <= F.col("_last")
-    return pin(good.crossJoin(F.broadcast(first)).select("_id", (within & (F.pmod("_h", F.lit(4)) != 0)).alias("_seen")), "trusted")
+    return pin(good.crossJoin(F.broadcast(first)).select("_id", (within & taught).alias("_seen")), "trusted")
 
 
 def _flat(table: pa.Table) -> pa.Table:
@@ -57,8 +59,9 @@ def _keyer(order: int):
 def string_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, c): strings of `order` bytes, the last one possibly the end, and their counts."""
     blocks = block_count(texts, "text")
+    shards = max(pieces(texts.sparkSession), blocks // 2)
     rows = packed(texts.withColumn("_id", F.monotonically_increasing_id()), blocks, "_id", "text", trains=F.lit(True))
-    lists = rows.groupBy("block").applyInArrow(lister(_keyer(order), pieces(texts.sparkSession)), LIST_SCHEMA)
+    lists = rows.groupBy("block").applyInArrow(lister(_keyer(order), shards), LIST_SCHEMA)
     return lists.groupBy("shard").applyInArrow(_flat, "key bigint, c bigint")
 
 
@@ -189,11 +192,11 @@ def thresholds(scored: DataFrame, quantile: float) -> tuple[DataFrame, float | N
     return by_lang, None if above["all"] is None else math.exp(above["all"])
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = TRUSTED, quantile: float = QUANTILE,
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int | None = None, quantile: float = QUANTILE,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_bytes, perplexity, threshold, keep.
 
-    The model sees three in four of the first `most` trusted rows by hash; `threshold` is
+    The model sees three in four of the trusted rows, or of the first `most` by hash; `threshold` is
     the quantile of all other trusted rows' perplexities in the same language (null is a
     language), for few rows drawn to that of all languages; a language without any takes that of all. Null and empty texts are an end alone.
     Without trusted text every byte has an even chance and everything is kept; repeated

@@ -82,6 +82,12 @@ def test_thresholds_use_all_trusted_rows_that_the_model_does_not_see(spark):
     assert len(unseen) >= 260 and abs(below - len(unseen) / 2) <= 1
 
 
+def test_the_model_sees_three_in_four_of_all_trusted_rows(spark):
+    labels = spark.range(44_000).select(quality.F.col("id").alias("doc_id"), quality.F.lit(1).alias("quality"))
+    seen = quality.trusted_rows(labels).filter("_seen").count()
+    assert abs(seen - 33_000) < 600
+
+
 def test_no_single_row_sets_the_threshold_of_a_small_language(spark):
     rows = [(i, "en", True, 100, 5 + i % 100 / 100) for i in range(1000)] + [(2000 + i, "fr", True, 100, 5 + i / 20) for i in range(19)]
     rows += [(3000, "fr", True, 100, 200.0)]

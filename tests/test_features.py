@@ -1,5 +1,7 @@
 """Cleaning, joining and preparing on small tables with the awkward cases in them."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -118,6 +120,15 @@ def test_lookup_list_and_joins(spark):
     assert J.merge_onto_universe([one], universe).count() == 3
 
 
+def test_lookup_list_names_ids_before_it_shuffles_them(spark):
+    names = spark.createDataFrame([("a", "Aa"), ("c", "Cc")], "code string, name string")
+    twice = spark.createDataFrame([(1, "c a c"), (1, "a b"), (None, "b")], "id int, ids string")
+    listed = J.lookup_list(twice, "id", "ids", names, "code", "name")
+    assert sorted((r.ids, r.names) for r in listed.collect()) == [("a b", "Aa|Cc"), ("b", None), ("c a c", "Aa|Cc")]
+    keyed = re.findall(r"hashpartitioning\((.*?), \d+\)", listed._jdf.queryExecution().executedPlan().toString())
+    assert keyed and not any("code" in k for k in keyed)
+
+
 def test_assemble_keeps_every_seed(spark):
     universe = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
     seeds = spark.createDataFrame([("a",), ("c",)], "entity_id string")

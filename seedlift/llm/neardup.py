@@ -5,8 +5,11 @@ signature of its word shingles; texts that agree in all coordinates of a band sh
 bucket. A bucket is joined to a pivot, the member that shares most buckets with others
 and so stands nearest to the middle of a group of copies. Pairs with the pivot are
 verified on the full shingle sets. While a round finds links, each bucket that still
-holds several components gets a further pivot from a component without one. Pairs grow
-with the members of buckets, never with their square.
+holds several components gets a further pivot from a component without one. Texts that
+no pivot settled are then compared by prefixes: two sets as alike as the threshold share
+one of their rarest shingles, near enough to the front of both. That bound is exact, so
+no link between members of a bucket is lost, and pairs that only share what many texts
+share are never formed.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedlift.llm.common import bounded_batches, checked, components, text_key, unused, whole_text
@@ -43,7 +46,8 @@ def _sets(shingle: int):
         for batch in in_slices(batches, "text"):
             elements, bounds = hashed_shingles(*hashed_words(batch.column("text")), shingle)
             sets = [np.unique(elements[low:high]).tobytes() for low, high in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "elements"])
+            sizes = pa.array([len(s) // 8 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), sizes, pa.array(sets, pa.binary())], names=["key", "n", "elements"])
     return run
 
 
@@ -112,7 +116,7 @@ def _labels(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, i
     rows = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("key"), whole_text(text_col).alias("text"))
     rows = rows.join(wanted.withColumnsRenamed({"key": "_key", "_id": "_doc"}),
                      (F.col("key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = pin(rows.select("key", "text").mapInArrow(_sets(shingle), "key binary, elements binary")
+    sets = pin(rows.select("key", "text").mapInArrow(_sets(shingle), "key binary, n bigint, elements binary")
                .dropDuplicates(["key"]), "sets")
 
     middle = F.max_by("key", F.struct("degree", "key"))
@@ -132,12 +136,56 @@ def _labels(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, i
         pairs = marked.join(fresh, "bucket").filter(F.col("label") != F.col("_p.label")).select(
             F.col("_p.key").alias("a"), F.col("key").alias("b")).distinct()
         found = pin(_verified(pairs, sets, threshold), "links")
+        pivots = pivots.unionByName(fresh.select("bucket", F.col("_p.key").alias("pivot")))
         if not found.limit(1).count():
-            return labels.withColumnRenamed("node", "key")
+            break
         links = links.unionByName(found)
-        pivots = pivots.unionByName(fresh.select("bucket", F.col("_p.key").alias("pivot")))
         labels = components(links)
 
+    # Pairs with a pivot are done, so a bucket is once all its other members are of one component.
+    rest = members.join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
+    rest = pin(rest.join(known, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "rest")
+    several = rest.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("_several")).filter("_several").select("bucket")
+    unsettled = pin(rest.join(several, "bucket", "left_semi").select("key", "label").distinct(), "unsettled")
+    found = pin(_verified(_close_pairs(unsettled, sets, threshold), sets, threshold), "links")
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
+    return labels.withColumnRenamed("node", "key")
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            elements = np.frombuffer(batch.column("elements")[row].as_buffer(), np.int64)
+            at = pa.array(np.full(len(elements), row))
+            kept = [batch.column(c).take(at) for c in ("key", "label", "n")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(elements)], names=["key", "label", "n", "element"])
+
+
+def _close_pairs(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different labels among `texts` (key, label), every pair of at least the given similarity included.
+
+    Elements stand in order of how many of these texts hold them. Two sets of n and m elements that are alike share
+    at least `threshold / (1 + threshold) * (n + m)`, so the first one they share has as many from it to the end of both.
+    """
+    rows = texts.join(sets, "key").mapInArrow(_elements, "key binary, label binary, n bigint, element bigint")
+    rows = pin(rows, "elements")
+    held = rows.groupBy("element").agg(F.count("*").alias("_held"), F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_held > 1")
+    own = Window.partitionBy("key")
+    left = F.count("*").over(own) - F.row_number().over(own.orderBy("_held", "element")) + 1  # from here to the end
+    placed = rows.join(held, "element").select("*", left.alias("left"))
+    # A partner has at least `threshold` as many elements, so both share at least as many of these.
+    front = pin(placed.filter((F.col("left") >= F.lit(threshold) * F.col("n") - 1e-6) & (F.col("_l") != F.col("_m"))).select(
+        "element", "key", "label", "n", "left"), "front")
+    # Of each element's labels one may hold many texts: its own pairs are no candidates and are not formed.
+    main = front.groupBy("element", "label").count().groupBy("element").agg(
+        F.max_by("label", F.struct("count", "label")).alias("_main"), F.sum("count").alias("_held")).filter("_held > 1")
+    one = front.join(main.drop("_held"), "element").filter(F.col("label") != F.col("_main")).drop("_main")
+    two = front.withColumnsRenamed({"key": "_key", "label": "_label", "n": "_n", "left": "_left"})
+    alike = F.least("left", "_left") >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("_n")) - 1e-6
+    return one.join(two, "element").filter((F.col("label") != F.col("_label")) & alike).select(
+        F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+
 
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
                             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,6 +73,21 @@ def test_chain_of_near_copies_and_large_group(spark):
     assert [got[d] for d, _ in rows] == brute(rows)
 
 
+def test_members_of_a_bucket_that_no_early_pivot_links_are_compared(spark):
+    base = prose(3, 200)
+    docs = [(1, prose(1, 200)), (2, prose(2, 200)), (3, base), (4, edited(base, 90))]
+    assert len(set(brute(docs))) == 3
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    # 1 and 2 share the most buckets, so they are the first pivots, and link nothing.
+    buckets = spark.createDataFrame([(1, [7, 8, 9]), (2, [7, 8, 9]), (3, [7]), (4, [7])], "doc_id bigint, bands array<bigint>")
+    first = neardup.F.struct(neardup.F.lit(False).alias("none"), "doc_id").alias("_first")
+    texts = docs.join(buckets, "doc_id").select(neardup.text_key("text").alias("key"), first, "bands")
+    labels = neardup._labels(docs, texts, 0.8, 5, "doc_id", "text")
+    got = texts.join(labels, "key", "left").select("_first.doc_id", neardup.F.coalesce("label", "key").alias("label")).collect()
+    assert len({bytes(r["label"]) for r in got}) == 3
+    assert len({bytes(r["label"]) for r in got if r["doc_id"] > 2}) == 1
+
+
 def test_one_document_of_each_class_stays(odd, empty):
     kept = neardup.without_near_duplicates(odd)
     assert kept.columns == odd.columns

@@ -27,6 +27,8 @@ from seedlift.llm.words import hashed_spans, text_bytes
 
 #: Bytes of input, as Spark estimates it, for each block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text whose words are told apart at a time: a position takes some fifty times its byte in memory.
+RUN_BYTES = 1 << 18
 #: Words that are handed to the library in one call.
 AT_ONCE = 2000
 
@@ -122,7 +124,7 @@ def _lister(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = unpacked(table)
         hashes, words = [np.zeros(0, np.uint64)], []
-        for low, high in text_runs(texts):
+        for low, high in text_runs(texts, RUN_BYTES):
             raw, begins, ends, _, _, own = _run_words(texts[low:high])
             distinct, first = np.unique(own, return_index=True)
             data = raw.tobytes()
@@ -177,7 +179,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 def _joiner(content: Broadcast, buckets: int, with_ids: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         whole, runs = unpacked(texts), []
-        for low, high in text_runs(whole):
+        for low, high in text_runs(whole, RUN_BYTES):
             _, _, _, order, counts, hashes = _run_words(whole[low:high])
             own, inverse = np.unique(hashes, return_inverse=True)
             runs.append((low + order, counts, own, inverse.astype(np.int32)))

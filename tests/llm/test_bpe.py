@@ -71,3 +71,20 @@ def test_long_words_are_told_apart(spark, tokenizer, library):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(docs, tokenizer).collect()}
     assert got == {i: expected(library, t) for i, t in enumerate(texts)}
+
+
+def test_words_of_a_block_are_told_apart_a_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from seedlift.llm import bpe
+    from seedlift.llm.blocks import squeeze
+
+    texts = [f"word{i} and more, it's {i} " .encode() * 2000 for i in range(30)]
+    table = pa.table({"block": [0] * 30, "doc_id": list(range(30)), "size": [len(t) for t in texts],
+                      "blob": pa.array([squeeze(t) for t in texts], pa.binary())})
+    seen, real = [], bpe._run_words
+    monkeypatch.setattr(bpe, "_run_words", lambda some: seen.append(sum(map(len, some))) or real(some))
+    parted = bpe._lister(3)(table).to_pylist()
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 18
+    monkeypatch.setattr(bpe, "RUN_BYTES", 1 << 30)
+    assert bpe._lister(3)(table).to_pylist() == parted

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlift.llm.common import bounded_batches, checked, components, text_key, unused, whole_text
+from seedlift.llm.common import NARROW_ROWS, bounded_batches, checked, components, grown, text_key, unused, whole_text
 from seedlift.llm.dartminhash import band_hashes, signatures
 from seedlift.llm.words import hashed_shingles, hashed_words, in_slices
-from seedlift.runtime import pin
+from seedlift.runtime import at_most, pin, scratch
 
 
 def _bands(k: int, rows: int, shingle: int):
@@ -106,51 +106,53 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k: int =
 
 def _labels(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(key, label) of the texts that are linked to another."""
-    spread = texts.select("key", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = pin(spread.join(checked(pin(shared, "shared")), "bucket"), "members")
-    degrees = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = pin(members.select("bucket", "key").join(degrees, "key"), "members")
-
-    wanted = checked(pin(degrees.select("key").join(texts.select("key", F.col("_first.doc_id").alias("_id")), "key"), "wanted"))
-    rows = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("key"), whole_text(text_col).alias("text"))
-    rows = rows.join(wanted.withColumnsRenamed({"key": "_key", "_id": "_doc"}),
-                     (F.col("key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = pin(rows.select("key", "text").mapInArrow(_sets(shingle), "key binary, n bigint, elements binary")
-               .dropDuplicates(["key"]), "sets")
-
-    middle = F.max_by("key", F.struct("degree", "key"))
-    pivots = pin(members.groupBy("bucket").agg(middle.alias("pivot")), "pivots")
-    pairs = members.join(pivots, "bucket").filter(F.col("key") != F.col("pivot"))
-    pairs = pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = pin(_verified(pairs, sets, threshold), "links")
-    labels = components(links)
-    while True:
-        # Buckets of several components: the next pivot comes from a component that had none in the bucket.
-        known = labels.withColumnRenamed("node", "key")
-        marked = members.join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        led = pivots.withColumnRenamed("pivot", "key").join(known, "key", "left").select(
-            "bucket", F.coalesce("label", "key").alias("label")).distinct()
-        fresh = pin(marked.join(led, ["bucket", "label"], "left_anti").groupBy("bucket").agg(
-            F.max_by(F.struct("key", "label"), F.struct("degree", "key")).alias("_p")), "fresh")
-        pairs = marked.join(fresh, "bucket").filter(F.col("label") != F.col("_p.label")).select(
-            F.col("_p.key").alias("a"), F.col("key").alias("b")).distinct()
-        found = pin(_verified(pairs, sets, threshold), "links")
-        pivots = pivots.unionByName(fresh.select("bucket", F.col("_p.key").alias("pivot")))
-        if not found.limit(1).count():
-            break
-        links = links.unionByName(found)
-        labels = components(links)
-
-    # Pairs with a pivot are done, so a bucket is once all its other members are of one component.
-    rest = members.join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
-    rest = pin(rest.join(known, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "rest")
-    several = rest.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("_several")).filter("_several").select("bucket")
-    unsettled = pin(rest.join(several, "bucket", "left_semi").select("key", "label").distinct(), "unsettled")
-    found = pin(_verified(_close_pairs(unsettled, sets, threshold), sets, threshold), "links")
-    if found.limit(1).count():
-        labels = components(links.unionByName(found))
-    return labels.withColumnRenamed("node", "key")
+    with scratch(docs.sparkSession):
+        spread = texts.select("key", F.col("_first.doc_id").alias("_id"), F.explode("bands").alias("bucket"))
+        shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        members = pin(spread.join(checked(pin(shared, "shared")), "bucket"), "members")
+        degrees = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("degree"), F.first("_id").alias("_id"))
+        degrees = checked(pin(degrees, "degrees"))
+        members = pin(members.select("bucket", "key").join(degrees.drop("_id"), "key"), "members")
+
+        wanted = degrees.select(F.col("key").alias("_key"), F.col("_id").alias("_doc"))
+        rows = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("key"), whole_text(text_col).alias("text"))
+        rows = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
+        sets = pin(rows.select("key", "text").mapInArrow(_sets(shingle), "key binary, n bigint, elements binary")
+                   .dropDuplicates(["key"]), "sets")
+
+        middle = F.max_by("key", F.struct("degree", "key"))
+        pivots = pin(members.groupBy("bucket").agg(middle.alias("pivot")), "pivots")
+        pairs = members.join(checked(pivots), "bucket").filter(F.col("key") != F.col("pivot"))
+        pairs = pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+        labels = components(pin(_verified(pairs, sets, threshold), "links"))
+        while True:
+            # Buckets of several components: the next pivot comes from a component that had none in the bucket.
+            known = checked(labels.withColumnRenamed("node", "key"))
+            marked = members.join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
+            led = pivots.withColumnRenamed("pivot", "key").join(known, "key", "left").select(
+                "bucket", F.coalesce("label", "key").alias("label"))
+            led = F.broadcast(led) if at_most(pivots, NARROW_ROWS) else led.distinct()
+            fresh = pin(marked.join(led, ["bucket", "label"], "left_anti").groupBy("bucket").agg(
+                F.max_by(F.struct("key", "label"), F.struct("degree", "key")).alias("_p")), "fresh")
+            pairs = marked.join(checked(fresh), "bucket").filter(F.col("label") != F.col("_p.label")).select(
+                F.col("_p.key").alias("a"), F.col("key").alias("b")).distinct()
+            found = pin(_verified(pairs, sets, threshold), "links")
+            pivots = pivots.unionByName(fresh.select("bucket", F.col("_p.key").alias("pivot")))
+            if not found.limit(1).count():
+                break
+            labels = grown(labels, found)
+
+        # Pairs with a pivot are done, so a bucket is once all its other members are of one component.
+        led = pivots.select("bucket", F.col("pivot").alias("key"))
+        rest = pin(marked.join(checked(led), ["bucket", "key"], "left_anti").select("bucket", "key", "label"), "rest")
+        several = rest.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("_several")).filter("_several").select("bucket")
+        several = checked(pin(several, "several"))
+        unsettled = pin(rest.join(several, "bucket", "left_semi").select("key", "label").distinct(), "unsettled")
+        if unsettled.limit(1).count():
+            found = pin(_verified(_close_pairs(unsettled, sets, threshold), sets, threshold), "links")
+            if found.limit(1).count():
+                labels = grown(labels, found)
+        return pin(labels.withColumnRenamed("node", "key"), "labels", keep=True)
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +170,10 @@ def _close_pairs(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     Elements stand in order of how many of these texts hold them. Two sets of n and m elements that are alike share
     at least `threshold / (1 + threshold) * (n + m)`, so the first one they share has as many from it to the end of both.
     """
-    rows = texts.join(sets, "key").mapInArrow(_elements, "key binary, label binary, n bigint, element bigint")
+    rows = sets.join(checked(texts), "key").mapInArrow(_elements, "key binary, label binary, n bigint, element bigint")
     rows = pin(rows, "elements")
     held = rows.groupBy("element").agg(F.count("*").alias("_held"), F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_held > 1")
+    held = checked(pin(held, "held"))
     own = Window.partitionBy("key")
     left = F.count("*").over(own) - F.row_number().over(own.orderBy("_held", "element")) + 1  # from here to the end
     placed = rows.join(held, "element").select("*", left.alias("left"))
@@ -193,7 +196,8 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: in
 
     Rows that repeat the kept id and text are one document; the first of them stays.
     """
-    found = pin(classes(docs, threshold, shingle, id_col=id_col, text_col=text_col), "classes")
+    with scratch(docs.sparkSession):
+        found = pin(classes(docs, threshold, shingle, id_col=id_col, text_col=text_col), "classes", keep=True)
     k, d = unused(docs, "_key"), unused(docs, "_doc")
     marks = [F.col("key").alias(k), F.col("doc_id").alias(d)]
     out = checked(pin(found.filter(~F.col("keep")).select(*marks).distinct(), "out"))

@@ -12,6 +12,7 @@ letters, single digits, other runs and seven contractions, ids ending a word mar
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seedlift.llm.blocks import block_count, packed, squeeze, swell, text_runs, unpacked
+from seedlift.llm.common import give_back
 from seedlift.llm.words import hashed_spans, text_bytes
 
 #: Bytes of input, as Spark estimates it, for each block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Blocks for each bucket of words. Their lists are parted into as many rows as there are pairs of block and bucket.
+BLOCKS_A_BUCKET = 8
 #: Bytes of text whose words are told apart at a time: a position takes some fifty times its byte in memory.
-RUN_BYTES = 1 << 18
+RUN_BYTES = 1 << 17
 #: Words that are handed to the library in one call.
 AT_ONCE = 2000
 
@@ -122,19 +126,25 @@ def _run_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def _lister(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         texts = unpacked(table)
-        hashes, words = [np.zeros(0, np.uint64)], []
+        hashes, sizes, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [b""]
         for low, high in text_runs(texts, RUN_BYTES):
             raw, begins, ends, _, _, own = _run_words(texts[low:high])
             distinct, first = np.unique(own, return_index=True)
             data = raw.tobytes()
             hashes.append(distinct)
-            words.extend([data[x:y] for x, y in zip(begins[first].tolist(), ends[first].tolist())])
+            sizes.append(ends[first] - begins[first] + 1)
+            parts.append(b"".join([data[x:y] + b"\n" for x, y in zip(begins[first].tolist(), ends[first].tolist())]))
+        del texts
+        lines, ends = b"".join(parts), np.cumsum(np.concatenate(sizes))
+        starts = ends - np.concatenate(sizes)
         distinct, first = np.unique(np.concatenate(hashes), return_index=True)
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
         rows = []
         for b in np.unique(bucket).tolist():
-            blob = b"\n".join([words[i] for i in first[bucket == b].tolist()])
+            mine = first[bucket == b]
+            blob = b"".join([lines[x:y] for x, y in zip(starts[mine].tolist(), ends[mine].tolist())])[:-1]
             rows.append((b, len(blob), squeeze(blob)))
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()),
@@ -145,7 +155,10 @@ def _lister(buckets: int):
 
 def _encoder(content: Broadcast):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         found = content.value[0]
+        give_back()  # reading the tokenizer takes several times what it holds
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads of the library would each keep memory; Spark's tasks are the threads
         packs = list(zip(table.column("words").to_pylist(), table.column("size").to_pylist()))
         number: dict[str, int] = {}
         for blob, size in packs:
@@ -156,6 +169,7 @@ def _encoder(content: Broadcast):
             encoded = [e.ids for e in found.encode_batch(words[low:low + AT_ONCE], add_special_tokens=False)]
             counts.append(np.array([len(e) for e in encoded], np.int32))
             parts.append(np.array([i for e in encoded for i in e], np.int32))
+        del words
         sizes, ids = np.concatenate(counts), np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         blobs, lengths = [], []
@@ -176,8 +190,9 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
 
 
-def _joiner(content: Broadcast, buckets: int, with_ids: bool):
+def _joiner(pieces: Broadcast, buckets: int, with_ids: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         whole, runs = unpacked(texts), []
         for low, high in text_runs(whole, RUN_BYTES):
             _, _, _, order, counts, hashes = _run_words(whole[low:high])
@@ -196,9 +211,15 @@ def _joiner(content: Broadcast, buckets: int, with_ids: bool):
             parts.append(got)
             base += len(got)
         ids = np.concatenate(parts)
-        names, flat, cuts = content.value[1], ids.tolist(), list(zip(starts.tolist(), (starts + sizes).tolist()))
-        numerals = [" ".join(map(str, flat[x:y])) for x, y in cuts]
-        spelled = [" ".join([names[i] for i in flat[x:y]]) for x, y in cuts]
+        del parts, bucket
+        give_back()
+        names, numerals, spelled = pieces.value, [], []
+        for low in range(0, len(distinct), AT_ONCE):
+            cuts = slice(low, low + AT_ONCE)
+            for x, y in zip(starts[cuts].tolist(), (starts + sizes)[cuts].tolist()):
+                own = ids[x:y].tolist()
+                numerals.append(" ".join(map(str, own)))
+                spelled.append(" ".join([names[i] for i in own]))
         out = []
         for order, counts, own, inverse in runs:
             code = np.searchsorted(distinct, own)[inverse]
@@ -237,7 +258,9 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     or cut off. The digests are of the decimal ids and of the decoded text.
     """
     blocks = block_count(docs, text_col, BLOCK_BYTES)
-    buckets = max(1, blocks // 4)
+    buckets = max(1, blocks // BLOCKS_A_BUCKET)
+    # A worker drops the tokenizer for a task that reads the pieces alone.
+    spelling = docs.sparkSession.sparkContext.broadcast(tokenizer.value[1])
     kind = dict(docs.dtypes)[id_col]
     rows = packed(docs, blocks, id_col, text_col)
     lists = rows.groupBy("block").applyInArrow(
@@ -245,7 +268,7 @@ def encode(docs: DataFrame, tokenizer: Broadcast, with_ids: bool = True,
     answers = lists.groupBy("bucket").applyInArrow(
         _encoder(tokenizer), "block bigint, bucket bigint, size bigint, ids binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _joiner(tokenizer, buckets, with_ids),
+        _joiner(spelling, buckets, with_ids),
         f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 

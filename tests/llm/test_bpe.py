@@ -2,13 +2,18 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import psutil
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from seedlift.llm import bpe
-from tests.llm.conftest import unlike_words
+from seedlift.llm.blocks import squeeze
+from tests.llm.conftest import prose, unlike_words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -88,3 +93,23 @@ def test_words_of_a_block_are_told_apart_a_few_texts_at_a_time(monkeypatch):
     assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 18
     monkeypatch.setattr(bpe, "RUN_BYTES", 1 << 30)
     assert bpe._lister(3)(table).to_pylist() == parted
+
+
+def test_memory_goes_back_before_the_tokenizer_and_a_block_are_read(library):
+    """Free pieces under a kept one, as other stages leave them in a worker, and a joiner that has no tokenizer."""
+    def held():
+        return psutil.Process().memory_info().rss / 1e6
+
+    texts = [prose(i, 300) for i in range(40)]
+    table = pa.table({"block": pa.array([1] * 40, pa.int64()), "doc_id": pa.array(range(40), pa.int64()),
+                      "size": pa.array([len(t) for t in texts], pa.int64()), "blob": pa.array([squeeze(t.encode()) for t in texts], pa.binary())})
+    names = [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
+    many = [np.ones(500) for _ in range(40_000)]
+    last = many[-1]
+    del many
+    before = held()
+    lists = bpe._lister(2)(table)
+    assert held() < before - 80 and last[0] == 1
+    answers = pa.concat_tables([bpe._encoder(SimpleNamespace(value=(library, names)))(lists.slice(i, 1)) for i in range(lists.num_rows)])
+    joined = bpe._joiner(SimpleNamespace(value=names), 2, False)(table, answers).to_pylist()
+    assert [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in joined] == [expected(library, t) for t in texts]
